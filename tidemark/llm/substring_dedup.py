@@ -96,6 +96,8 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
     runs = runs.withColumn("total", F.sum("words").over(Window.partitionBy("doc", "row", "run"))).where(F.col("total") >= min_words)
     runs = runs.withColumn("turn", turn).withColumn("part", F.sum("turn").over(Window.partitionBy("doc", "row", "run").orderBy("i")))
     out = runs.groupBy("doc", "row", "run", "part").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.sum("words").alias("words"), F.min("first_doc").alias("first_doc"), F.first("later").alias("removed"))
+    # A stray chunk that happens to occur earlier stays where the passage around it stays.
+    out = out.withColumn("removed", F.col("removed") & (F.col("words") >= min_words))
     return out.select("doc", "row", "start", "end", "words", "first_doc", "removed")
 
 

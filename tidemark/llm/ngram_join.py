@@ -10,12 +10,14 @@ nothing. Two sets link when 100 * intersection >= percent * union.
 2. Prefixes. Linked sets share a token among the first n - ceil(percent/100 * n) + 1.
    Documents with the same size and prefix are one group, and only groups enter the
    inverted lists; a token of one group only is dropped after a partial count.
-3. Group pairs. In each list the groups are compared with one hub, pairs that size
-   or position rule out are filtered, the rest is expanded to members (distinct
-   sets) and verified on whole sets. Lists whose members are then in one component
-   need nothing more; after a few such rounds, every pair left that lies in two
-   components is verified. So no link between different components is lost, and a
-   large group of near copies costs a star instead of all its pairs.
+3. Group pairs, expanded to members (distinct sets). In each list the members are
+   compared with one hub: first the one in whose order the token stands foremost (the
+   original among its edited copies), later a random one of that list. Pairs that
+   size, position or the parity bitmaps of the whole sets rule out are filtered, the
+   rest is verified on whole sets. Lists whose members are then in one component need
+   nothing more; after a few such rounds, every pair left that lies in two components
+   is filtered and verified likewise. So no link between different components is
+   lost, and a large group of near copies costs stars instead of all its pairs.
 
 Results are components; equal sets are one member. Defined results: null text is
 empty; a null doc_id links with nothing (component null); rows that repeat a doc_id
@@ -36,10 +38,12 @@ from .components import components
 
 WORDS = 5
 PERCENT = 75
-#: Buckets of the frequency table: 4 MB of counts, whatever the corpus.
-BUCKETS = 1 << 20
+#: Buckets of the frequency table: 16 MB of counts, whatever the corpus.
+BUCKETS = 1 << 22
 BLOCK = 1 << 14
-STAR_ROUNDS = 3
+STAR_ROUNDS = 4
+#: Words of 64 bits in a parity bitmap.
+BITMAP = 8
 #: Ids up to this many (8 bytes each) are broadcast to pick documents; beyond, a shuffled join picks them.
 BROADCAST_IDS = 1 << 20
 
@@ -74,24 +78,41 @@ def _set_key(s: np.ndarray, salt: int) -> int:
     return int(mix(s + np.uint64(salt)).sum()) if len(s) else 0
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in the fewest bytes each that hold them all, after a byte that says how many."""
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32) if counts.max() <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + counts.astype(kind).tobytes()
+
+
+def unpacked(raw) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1)
+
+
+def parity_bitmap(s: np.ndarray) -> np.ndarray:
+    """For each of 64 * BITMAP hash values whether an odd number of tokens has it. Two
+    sets differ in at least as many tokens as their bitmaps differ in bits."""
+    odd = np.bincount((s >> np.uint64(32)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def bucket_counts(df: DataFrame, text: str, words: int) -> np.ndarray:
     """Shingles per hash bucket over all texts: BUCKETS numbers, added up in blocks."""
 
     def count(batches):
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS, np.uint32)
         for b in batches:
             for s in shingle_sets(b.column(0), words):
-                np.add.at(total, (s & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+                np.add.at(total, (s & np.uint64(BUCKETS - 1)).astype(np.int64), np.uint32(1))
         for k in range(0, BUCKETS, BLOCK):
             part = total[k : k + BLOCK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([part.astype(np.uint32).tobytes()], pa.binary())], ["k", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([packed(part)], pa.binary())], ["k", "counts"])
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BLOCK, np.int64)
         for b in batches:
             for x in b.column("counts"):
-                total += np.frombuffer(x.as_buffer(), np.uint32)
+                total += unpacked(x.as_buffer())
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], ["k", "counts"])
 
     out = np.zeros(BUCKETS, np.int32)
@@ -110,18 +131,21 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
     """One row per row of df: doc_id, n_shingles, component_id."""
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
+    bitmap = [f"b{j}" for j in range(BITMAP)]
     shared = spark.sparkContext.broadcast(bucket_counts(docs, "text", words))
 
     def describe(batches):
         for b in batches:
-            n, k1, k2, g = [], [], [], []
+            n, k1, k2, g, bits = [], [], [], [], []
             for s in shingle_sets(b.column("text"), words):
                 p = _ordered(s, shared.value, prefix_length(len(s), percent))
                 n.append(len(s))
                 k1.append(_set_key(s, 1))
                 k2.append(_set_key(s, 2))
                 g.append(_set_key(p, len(s) + 3))
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(n, pa.int64()), *(int64(np.array(x, np.uint64)) for x in (k1, k2, g))], ["doc", "n", "k1", "k2", "g"])
+                bits.append(parity_bitmap(s))
+            bits = np.array(bits, np.int64).reshape(-1, BITMAP)
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(n, pa.int64()), *(int64(np.array(x, np.uint64)) for x in (k1, k2, g)), *(pa.array(bits[:, j]) for j in range(BITMAP))], ["doc", "n", "k1", "k2", "g", *bitmap])
 
     def prefixes(batches):
         for b in batches:
@@ -137,9 +161,9 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
                 pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 yield pa.RecordBatch.from_arrays([int64(np.concatenate(tokens)), int64(np.repeat(np.array(gs, np.uint64), sizes)), pa.array(np.repeat(np.array(ns, np.int32), sizes)), pa.array(pos.astype(np.int32))], ["token", "g", "n", "pos"])
 
-    described = stored(docs.mapInArrow(describe, "doc long, n long, k1 long, k2 long, g long"), "sets")
+    described = stored(docs.mapInArrow(describe, "doc long, n long, k1 long, k2 long, g long, " + ", ".join(f"{x} long" for x in bitmap)), "sets")
     own = ["n", "k1", "k2"]
-    sets = stored(described.where("n > 0 and doc is not null").groupBy(*own, "g").agg(F.min("doc").alias("node")), "members")
+    sets = stored(described.where("n > 0 and doc is not null").groupBy(*own, "g").agg(F.min("doc").alias("node"), *(F.max(x).alias(x) for x in bitmap)), "members")
     members = sets.select("g", "node", F.col("n").cast("int").alias("n")).distinct()
 
     listed = docs.where("doc is not null").select("text").mapInArrow(prefixes, "token long, g long, n int, pos int")
@@ -161,19 +185,26 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
             postings = postings.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         else:
             postings = postings.withColumn("comp", F.col("node"))
-        apart = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "pos", "comp")).alias("hub")).where("lo <> hi")
+        first = F.xxhash64("node", "token", F.lit(turn)) if turn else F.col("pos").cast("long")
+        apart = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(first.alias("h"), "node", "n", "pos", "comp")).alias("hub")).where("lo <> hi")
         postings = stored(postings.join(apart.select("token", "hub"), "token"), "postings")
         if postings.isEmpty():
             break
-        x, y = "", "hub."
+        # Both ends of a pair: sizes, positions and, below or in the join itself, bitmaps.
+        size = f"{percent}L * greatest(n, {{y}}n) <= 100L * least(n, {{y}}n)"
+        place = f"(100L + {percent}L) * (least(pos, {{y}}pos) + least(n - pos, {{y}}n - {{y}}pos)) >= {percent}L * (n + {{y}}n)"
+        bits = f"(100L + {percent}L) * ({' + '.join(f'bit_count({x} ^ {{y}}{x})' for x in bitmap)}) <= (100L - {percent}L) * (n + {{y}}n)"
+        ends = lambda y: (F.least("node", y + "node").alias("a"), F.greatest("node", y + "node").alias("b"))
+        marks = sets.select("node", "n", *bitmap)
         if turn < star_rounds:
-            both = postings.where("comp <> hub.comp")
+            pairs = postings.where("comp <> hub.comp").where(size.format(y="hub.")).where(place.format(y="hub.")).select(*ends("hub.")).distinct()
+            x, y = marks.withColumnRenamed("node", "a"), marks.select(F.col("node").alias("b"), F.struct("n", *bitmap).alias("y"))
+            pairs = pairs.join(x, "a").join(y, "b").where(bits.format(y="y.")).select("a", "b").distinct()
         else:
-            other = postings.select("token", F.struct("node", "n", "pos", "comp").alias("other"))
-            both, y = postings.drop("hub").join(other, "token").where("comp <> other.comp and node < other.node"), "other."
-        bound = f"least(pos, {y}pos) + 1 + least(n - pos, {y}n - {y}pos) - 1"
-        fits = both.where(f"{percent}L * greatest(n, {y}n) <= 100L * least(n, {y}n)").where(f"(100L + {percent}L) * ({bound}) >= {percent}L * (n + {y}n)")
-        pairs = fits.select(F.least("node", y + "node").alias("a"), F.greatest("node", y + "node").alias("b")).distinct()
+            left = postings.select("token", "node", "n", "pos", "comp").join(marks.drop("n"), "node")
+            right = left.select(F.col("token").alias("t"), F.struct("node", "n", "pos", "comp", *bitmap).alias("y"))
+            meet = "token = t and comp <> y.comp and node < y.node and " + " and ".join(x.format(y="y.") for x in (size, place, bits))
+            pairs = left.join(right, F.expr(meet)).select(*ends("y.")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import parity, replication
+
 
 def queries() -> dict:
-    return {}
+    return replication.QUERIES | parity.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return replication.ORACLES | parity.oracle_sql()

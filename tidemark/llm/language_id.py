@@ -126,6 +126,8 @@ def marginals(emissions: np.ndarray, bounds: np.ndarray, transitions: np.ndarray
     active = [int(np.searchsorted(-size, -t, "left")) for t in range(int(size[0]))]  # blocks with more than t words
     e = np.exp(emissions - emissions.max(axis=1, keepdims=True)) + 1e-30
     a = np.exp(transitions - transitions.max())
+    # Before the first word of a text every label is as likely: no transition is paid there.
+    first = number == 0
     # The transfer matrix of each block, needed where a text has several.
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -135,7 +137,7 @@ def marginals(emissions: np.ndarray, bounds: np.ndarray, transitions: np.ndarray
     if several:
         m = np.broadcast_to(np.eye(y), (len(order), y, y)).copy()
         for t, n in enumerate(active):
-            m[:n] = (m[:n] @ a) * e[begin[:n] + t][:, None, :]
+            m[:n] = (np.where(first[:n, None, None], 1.0 / y, a[None]) if t == 0 else m[:n] @ a) * e[begin[:n] + t][:, None, :]
             m[:n] /= m[:n].max(axis=(1, 2), keepdims=True)
         starts = np.cumsum(blocks) - blocks
         for k in range(1, int(blocks.max())):
@@ -146,8 +148,6 @@ def marginals(emissions: np.ndarray, bounds: np.ndarray, transitions: np.ndarray
             now, after = place[starts[who] + blocks[who] - 1 - k], place[starts[who] + blocks[who] - k]
             v = np.einsum("byz,bz->by", m[after], leave[after])
             leave[now] = v / v.sum(axis=1, keepdims=True)
-    # Before the first word of a text every label is as likely: no transition is paid there.
-    first = number == 0
     alpha, inward = np.empty((total, y)), np.empty((total, y))
     state = enter.copy()
     for t, n in enumerate(active):

@@ -13,8 +13,8 @@ nothing. Two sets link when 100 * intersection >= percent * union.
 3. Group pairs, expanded to members (distinct sets). In each list the members are
    compared with one hub: first the one in whose order the token stands foremost (the
    original among its edited copies), later a random one of that list. Pairs that
-   size, position or the parity bitmaps of the whole sets rule out are filtered, the
-   rest is verified on whole sets. Lists whose members are then in one component need
+   size, position or the parity bitmaps of the whole sets rule out are filtered; each
+   member's nearest hub is then verified on whole sets. Lists whose members are then in one component need
    nothing more; after a few such rounds, every pair left that lies in two components
    is filtered and verified likewise. So no link between different components is
    lost, and a large group of near copies costs stars instead of all its pairs.
@@ -197,9 +197,13 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
         ends = lambda y: (F.least("node", y + "node").alias("a"), F.greatest("node", y + "node").alias("b"))
         marks = sets.select("node", "n", *bitmap)
         if turn < star_rounds:
-            pairs = postings.where("comp <> hub.comp").where(size.format(y="hub.")).where(place.format(y="hub.")).select(*ends("hub.")).distinct()
-            x, y = marks.withColumnRenamed("node", "a"), marks.select(F.col("node").alias("b"), F.struct("n", *bitmap).alias("y"))
-            pairs = pairs.join(x, "a").join(y, "b").where(bits.format(y="y.")).select("a", "b").distinct()
+            met = postings.where("comp <> hub.comp").where(size.format(y="hub.")).where(place.format(y="hub.")).select("node", F.col("hub.node").alias("to")).distinct()
+            x, y = marks, marks.select(F.col("node").alias("to"), F.struct("n", *bitmap).alias("y"))
+            met = met.join(x, "node").join(y, "to").where(bits.format(y="y."))
+            # of the hubs of its lists a member tries the one whose bitmap is nearest
+            apart_by = F.expr(" + ".join(f"bit_count({x} ^ y.{x})" for x in bitmap))
+            best = met.groupBy("node").agg(F.min(F.struct(apart_by.alias("bits"), "to")).alias("m"))
+            pairs = best.select(F.least("node", "m.to").alias("a"), F.greatest("node", "m.to").alias("b")).distinct()
         else:
             left = postings.select("token", "node", "n", "pos", "comp").join(marks.drop("n"), "node")
             right = left.select(F.col("token").alias("t"), F.struct("node", "n", "pos", "comp", *bitmap).alias("y"))

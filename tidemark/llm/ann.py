@@ -35,7 +35,7 @@ from .common import read, stored
 
 TREES = 48
 DIGITS = 4
-LEAST = 8192
+LEAST = 2048
 SEGMENT_ROWS = 2048
 SEGMENT_QUERIES = 256
 SEED = 11

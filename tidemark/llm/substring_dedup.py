@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _SPACE, int64, read, slices, span_hashes
+from .common import _SPACE, int64, read, slices, span_hashes, stored
 
 #: A chunk ends where MASK of the 32-bit hash is zero: every 32 bytes on average. Bits
 #: 11 to 15 depend on the last 16 bytes.
@@ -49,8 +49,9 @@ def chunk_ends(data: np.ndarray, mask: int = MASK) -> np.ndarray:
 
 
 def chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mask: int = MASK) -> DataFrame:
-    """(digest, doc, row, i, start, size, words, again) for every chunk: its place in
-    bytes, the words that begin in it, and whether the text had it before."""
+    """(digest, doc, row, place, told) for every chunk: place holds its start and size
+    in bytes, told the words that begin in it and whether the text had it before, both
+    packed (see `unpacked`) so that little is shuffled. row is 0 but where a doc_id repeats."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -64,7 +65,6 @@ def chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mask: int
                 if not n.sum():
                     continue
                 end = np.concatenate(ends)
-                begins = np.cumsum(n) - n
                 start = np.concatenate(([0], end[:-1]))
                 digest = span_hashes(data, start, end)
                 owner = np.repeat(np.arange(len(n)), n)
@@ -72,29 +72,45 @@ def chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mask: int
                 again = np.zeros(len(end), bool)
                 again[order[1:]] = (digest[order[1:]] == digest[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
                 yield pa.RecordBatch.from_arrays(
-                    [int64(digest), pa.array(doc[first + owner]), pa.array(row[first + owner]), pa.array((np.arange(len(end)) - begins[owner]).astype(np.int32)), pa.array((start - at[owner]).astype(np.int32)), pa.array((end - start).astype(np.int32)), pa.array((words[end] - words[start]).astype(np.int32)), pa.array(again)],
-                    ["digest", "doc", "row", "i", "start", "size", "words", "again"],
+                    [int64(digest), pa.array(doc[first + owner]), pa.array(row[first + owner]), pa.array((start - at[owner]) << 32 | (end - start)), pa.array((words[end] - words[start]) << 1 | again)],
+                    ["digest", "doc", "row", "place", "told"],
                 )
 
-    rows = df.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("row"), F.col(text).alias("text"))
-    return rows.mapInArrow(work, "digest long, doc long, row long, i int, start int, size int, words int, again boolean")
+    rows = numbered(df, doc_id, text).where("doc is not null").select("doc", "row", F.col(text).alias("text"))
+    return rows.mapInArrow(work, "digest long, doc long, row long, place long, told long")
+
+
+def numbered(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """df with doc, and with row: the hash of the text where the doc_id repeats, else 0."""
+    ids = F.col(doc_id).cast("long").alias("doc")
+    # usually few: Spark broadcasts them by their size, and else joins by shuffle
+    twice = stored(df.select(ids).groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc", F.lit(True).alias("twice")), "twice")
+    return df.withColumn("doc", ids).join(twice, "doc", "left").withColumn("row", F.when(F.col("twice"), F.coalesce(F.xxhash64(text), F.lit(0))).otherwise(F.lit(0).cast("long"))).drop("twice")
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    """place and told as start, size, words and again."""
+    place, told = F.col("place"), F.col("told")
+    return df.withColumns({"start": F.shiftright(place, 32).cast("int"), "size": place.bitwiseAND((1 << 32) - 1).cast("int"), "words": F.shiftright(told, 1).cast("int"), "again": told.bitwiseAND(1) == 1}).drop("place", "told")
 
 
 def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, mask: int = MASK) -> DataFrame:
     """The repeated passages of each text: (doc, row, start, end, words, first_doc,
-    removed) by bytes; row is the hash of the text; `removed` marks the runs of a
+    removed) by bytes; row tells texts of one id apart; `removed` marks the runs of a
     passage that stay in an earlier place."""
     every = chunks(df, doc_id, text, mask)
     # How often, and where least: combined before the shuffle, so any number of copies will do.
     held = every.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first_doc")).where("n > 1").drop("n")
-    marked = every.join(held, "digest").withColumn("later", F.col("again") | (F.col("doc") != F.col("first_doc")))
+    # One shuffle by text for all that follows; what can be worked out again is left behind.
+    marked = unpacked(every.join(held, "digest").select("doc", "row", "place", "told", "first_doc").repartition("doc", "row"))
+    marked = marked.withColumn("later", F.col("again") | (F.col("doc") != F.col("first_doc")))
     # Runs of consecutive repeated chunks; a document's own chunks are its own size.
-    by = Window.partitionBy("doc", "row").orderBy("i")
-    step = F.when(F.col("i") == F.lag("i").over(by) + 1, 0).otherwise(1)
-    runs = marked.dropDuplicates(["doc", "row", "i"]).withColumn("step", step).withColumn("run", F.sum("step").over(by))
-    turn = F.when(F.col("later") == F.lag("later").over(Window.partitionBy("doc", "row", "run").orderBy("i")), 0).otherwise(1)
+    by = Window.partitionBy("doc", "row").orderBy("start")
+    step = F.when(F.col("start") == F.lag(F.col("start") + F.col("size")).over(by), 0).otherwise(1)
+    runs = marked.dropDuplicates(["doc", "row", "start"]).withColumn("step", step).withColumn("run", F.sum("step").over(by))
+    turn = F.when(F.col("later") == F.lag("later").over(Window.partitionBy("doc", "row", "run").orderBy("start")), 0).otherwise(1)
     runs = runs.withColumn("total", F.sum("words").over(Window.partitionBy("doc", "row", "run"))).where(F.col("total") >= min_words)
-    runs = runs.withColumn("turn", turn).withColumn("part", F.sum("turn").over(Window.partitionBy("doc", "row", "run").orderBy("i")))
+    runs = runs.withColumn("turn", turn).withColumn("part", F.sum("turn").over(Window.partitionBy("doc", "row", "run").orderBy("start")))
     out = runs.groupBy("doc", "row", "run", "part").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.sum("words").alias("words"), F.min("first_doc").alias("first_doc"), F.first("later").alias("removed"))
     # A stray chunk that happens to occur earlier stays where the passage around it stays.
     out = out.withColumn("removed", F.col("removed") & (F.col("words") >= min_words))
@@ -108,8 +124,8 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words:
     span = F.struct("start", "end", "words", "first_doc", "removed")
     # A text has no more passages than it has bytes / 100: a list is no larger than its row.
     found = repeats(df, doc_id, text, min_words, mask).groupBy("doc", "row").agg(F.sort_array(F.collect_list(span)).alias("spans"))
-    same = (F.col(doc_id) == F.col("doc")) & (F.coalesce(F.xxhash64(text), F.lit(0)) == F.col("row"))
-    out = df.join(found, same, "left").drop("doc", "row")
+    base = numbered(df.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.struct(*df.columns).alias("_all")), "_id", "_text")
+    out = base.join(found, ["doc", "row"], "left").select("_all.*", "spans")
     raw, gone = F.encode(F.col(text), "UTF-8"), F.filter("spans", lambda s: s["removed"])
     pieces = F.concat(F.array(F.lit(0)), F.transform(gone, lambda s: s["end"]))
     stops = F.concat(F.transform(gone, lambda s: s["start"]), F.array(F.octet_length(text)))

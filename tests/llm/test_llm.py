@@ -274,8 +274,9 @@ def test_neighbours(spark):
     data = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [1.0]), (None, [1.0] * 16), (3, x[3].tolist())]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
     exact = (x.astype(float) @ x.astype(float).T)
-    for least, floor in ((8192, 1.0), (60, 0.7)):
-        got = ann.nearest(df, is_query=F.col("id") % 20 == 0, k=5, least=least).toPandas()
+    # exact at the root; one digit at most; a recall that no depth but the root reaches
+    for least, recall, floor in ((8192, 0.92, 1.0), (60, 0.7, 0.7), (60, 1.0, 1.0)):
+        got = ann.nearest(df, is_query=F.col("id") % 20 == 0, k=5, least=least, recall=recall).toPandas()
         assert set(got.groupby("query_id").size()) == {5} and len(got) == 100
         hits = 0
         for q, g in got.groupby("query_id"):

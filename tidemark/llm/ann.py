@@ -13,8 +13,11 @@ are scored exactly. How far segments reach is set so that they hold enough rows;
 queries that find too few there are searched again on segments one digit shorter, in
 the end on all rows.
 
-Recall, measured against brute force: README. Tables small enough that the root is
-reached are searched exactly.
+How deep a search may stop is measured, not assumed: the exact neighbours of at most
+`PROBES` queries, from one pass over all rows, show how many of them share d digits in
+some tree, and the strings are as long as keeps that recall at `RECALL` or more. So
+clustered tables are searched deep, and a table whose neighbours share no digit is
+searched from the root, which is exact. Recall against brute force: README.
 
 Defined results: vectors that are null, zero or hold null or non-finite components
 take no part, nor do null ids and lengths other than the commonest (of equally common
@@ -39,11 +42,15 @@ LEAST = 2048
 SEGMENT_ROWS = 2048
 SEGMENT_QUERIES = 256
 SEED = 11
+#: Queries whose exact neighbours are sought, and the share of them that must be found.
+PROBES = 128
+RECALL = 0.92
 
 
 def _rotations(dims: int, trees: int, digits: int, seed: int) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    return np.stack([np.linalg.qr(rng.normal(size=(dims, dims)))[0] for _ in range(trees * digits)]).reshape(trees, digits, dims, dims)
+    """Rotation by tree and digit; those of the first digits do not depend on how many there are."""
+    one = lambda t, d: np.linalg.qr(np.random.default_rng([seed, t, d]).normal(size=(dims, dims)))[0]
+    return np.array([[one(t, d) for d in range(digits)] for t in range(trees)]).reshape(trees, digits, dims, dims)
 
 
 def hash_strings(x: np.ndarray, rotations: np.ndarray) -> np.ndarray:
@@ -63,7 +70,7 @@ def _usable(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return rows.groupBy("id").agg(F.min("v").alias("v"))
 
 
-def nearest(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", is_query=None, k: int = 20, trees: int = TREES, digits: int = DIGITS, least: int = LEAST, seed: int = SEED) -> DataFrame:
+def nearest(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", is_query=None, k: int = 20, trees: int = TREES, digits: int = DIGITS, least: int = LEAST, seed: int = SEED, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that `is_query` (a condition on
     the column id) the k other rows with the largest inner products found."""
     spark = df.sparkSession
@@ -76,6 +83,8 @@ def nearest(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
     dims, total, longest = sizes.d, sizes.n, sizes.m
     rows = rows.where(F.size("v") == dims).withColumn("q", is_query)
     base = 2 * (dims + 1)
+    if total * (1 - (1 - 1 / base) ** trees) >= least:
+        digits = _safe_digits(rows, dims, longest, k, trees, digits, seed, recall)
     depth = max(d for d in range(digits + 1) if d == 0 or total * (1 - (1 - float(base) ** -d) ** trees) >= least)
     found, rest = None, rows.where("q").select("id")
     for d in range(depth, -1, -1):
@@ -92,6 +101,51 @@ def nearest(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
     return found
 
 
+def _placed(x: np.ndarray, longest: float, as_query: bool) -> np.ndarray:
+    """Vectors of length 1 with one more coordinate, so that the largest inner product
+    is the smallest angle."""
+    unit = np.zeros((len(x), x.shape[1] + 1))
+    unit[:, :-1] = x.astype(np.float64)
+    length = np.sqrt((unit**2).sum(axis=1)) if as_query else np.full(len(x), longest)
+    unit /= length[:, None]
+    if not as_query:
+        unit[:, -1] = np.sqrt(np.maximum(0, 1 - (unit**2).sum(axis=1)))
+    return unit
+
+
+def _safe_digits(rows: DataFrame, dims: int, longest: float, k: int, trees: int, digits: int, seed: int, recall: float) -> int:
+    """The most digits that a query and at least `recall` of its k exact neighbours
+    share in some tree, over PROBES queries against all rows; 0 where not even one."""
+    probes = rows.where("q").select("id", "v").orderBy(F.xxhash64("id"), "id").limit(PROBES).collect()
+    if not probes:
+        return digits
+    asked = np.array([r.v for r in probes], np.float64)
+    own = np.array([r.id for r in probes])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+                score = np.where(own[:, None] == b.column("id").to_numpy()[None], -np.inf, asked @ x.astype(np.float64).T)
+                at = np.argsort(-score, axis=1)[:, :k]
+                n = at.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(own)), n)), pa.array(np.take_along_axis(score, at, 1).ravel()), b.column("v").take(pa.array(at.ravel()))], ["probe", "s", "v"])
+
+    found = rows.select("id", "v").mapInArrow(best, f"probe long, s double, v {dict(rows.dtypes)['v']}").where(F.col("s") > float("-inf"))
+    order = Window.partitionBy("probe").orderBy(F.desc("s"))
+    found = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("probe", "v").collect()  # PROBES * k rows at most
+    if not found:
+        return digits
+    of = np.array([r.probe for r in found])
+    near = _placed(np.array([r.v for r in found]), longest, False)
+    asked, base = _placed(asked, longest, True), 2 * (dims + 1)
+    shared = np.zeros(len(of), np.int64)
+    for turn in _rotations(dims + 1, trees, digits, seed):
+        a, b = hash_strings(asked, turn)[of], hash_strings(near, turn)
+        shared = np.maximum(shared, sum((a // base**d == b // base**d).astype(np.int64) for d in range(digits)))
+    return max(d for d in range(digits + 1) if (shared >= d).mean() >= recall)
+
+
 def _search(rows: DataFrame, wanted: DataFrame, dims: int, longest: float, depth: int, k: int, trees: int, digits: int, least: int, seed: int) -> DataFrame:
     """One pass over segments that share `depth` digits; at depth 0 one tree will do."""
     trees = trees if depth else 1
@@ -106,12 +160,7 @@ def _search(rows: DataFrame, wanted: DataFrame, dims: int, longest: float, depth
                 if not b.num_rows:
                     continue
                 x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-                unit = np.zeros((len(x), dims + 1))
-                unit[:, :dims] = x.astype(np.float64)
-                length = np.sqrt((unit**2).sum(axis=1))
-                unit /= (length if as_query else np.full(len(x), longest))[:, None]
-                if not as_query:
-                    unit[:, dims] = np.sqrt(np.maximum(0, 1 - (unit**2).sum(axis=1)))
+                unit = _placed(x, longest, as_query)
                 raw = pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()) if vectors else None
                 for t in range(trees):
                     code = pa.array(hash_strings(unit, turns[t]))

@@ -142,3 +142,32 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_path):
     q.awaitTermination()
     want = A.apply_changes(spark.createDataFrame([], "key int, value double"), spark.createDataFrame(log, schema))[0]
     assert rows(latest_snapshot(spark, str(tmp_path / "snap"))) == rows(want)
+
+
+def whole(spark, duck, name):
+    """A query over all events equals its SQL; its rows."""
+    df = plans.queries()[name](spark, SF)
+    got = rows(df)
+    want = duck.sql(f"SELECT {', '.join(df.columns)} FROM ({plans.oracle_sql()[name]})").fetchall()
+    assert got == sorted(map(tuple, want), key=repr)
+    return got
+
+
+def test_emission_covers_every_change(spark, duck):
+    assert len(whole(spark, duck, "win7_syncpoint_emission_all")) == duck.sql("SELECT count(*) FROM events").fetchall()[0][0]
+
+
+@pytest.mark.parametrize("step", [1, 3, 40])
+def test_emission_equals_brute_force(spark, step):
+    rnd = random.Random(step)
+    log = [("dense", p) for p in range(-90, 900 * step // 2, 1 + step // 7)] + [("far", 10**6 * i + i % 3) for i in range(9)] + [("few", 1), ("gone", None)]
+    log += [(None, rnd.randrange(5000)) for _ in range(700)] + [("hot", 77)] * 50 + [("hot", rnd.randrange(400 * step)) for _ in range(300)]
+    want = []
+    for by in {b for b, _ in log}:
+        last = 0
+        for at in sorted(p for b, p in log if b == by and p is not None):
+            want.append((by, at, at - last >= step))
+            last = at if at - last >= step else last
+    rnd.shuffle(log)
+    got = progress.emit_every(spark.createDataFrame(log, "origin string, lsn long"), "origin", "lsn", step)
+    assert got.columns == ["origin", "at", "emit"] and rows(got) == sorted(want, key=repr)

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import stored
+
+#: Steps to a stretch of a log that one task folds at a time.
+STRETCH = 64
+
 
 def latest(points: DataFrame, nodes: DataFrame) -> DataFrame:
     """The latest point of each (origin, receiver), 0 where there is none, for every two
@@ -46,14 +53,56 @@ def cleanup(points: DataFrame, bounds: DataFrame, me: int) -> DataFrame:
 
 
 def emit_every(log: DataFrame, by: str, order: str, step: int) -> DataFrame:
-    """log with `emit`: a mark is set whenever `step` has been passed since the last one.
-    Positions are folded in order within the group of `by`, a log segment of bounded size."""
-    item = F.col(order).cast("long")
-    start = F.expr("named_struct('last', 0L, 'out', cast(array() as array<struct<at:bigint,emit:boolean>>))")
+    """log with `emit`: a mark is set whenever `step` (1 or more) has been passed since the
+    last one, the first counted from 0. Rows without a position are left out; of rows at
+    one position the first is marked.
+
+    Each group of `by` is cut into stretches of STRETCH * step positions. One pass finds,
+    for every position at which the marks can come into a stretch, the last mark there;
+    the as-of join of these with the next stretch gives pointers, and pointer doubling
+    over stored tables the positions at which the marks do come in. A second pass sets the
+    marks. No array or task but that join holds a group of `by`, and the join only the
+    entries."""
+    if step < 1:
+        raise ValueError("step must be 1 or more")
+    span = STRETCH * step
+    stretch = F.expr(f"(at - pmod(at, {span}L)) div {span}L").alias("c")
+    rows = log.select(F.col(by).alias("by"), F.col(order).cast("long").alias("at")).where("at is not null")
+    rows = rows.groupBy("by", "at").agg(F.count(F.lit(1)).alias("n")).select("by", "at", "n", stretch)
+    kind = dict(rows.dtypes)["by"]
+
+    def leave(t: pa.Table) -> pa.Table:
+        t = t.sort_by("at")
+        at = t.column("at").to_numpy()
+        nxt, out = np.searchsorted(at, at + step), np.arange(len(at))
+        for i in range(len(at) - 1, -1, -1):
+            if nxt[i] < len(at):
+                out[i] = out[nxt[i]]
+        m = np.searchsorted(at, at[0] // span * span + step) + 1  # entries lie below one step, or first after it
+        return pa.table({"by": t.column("by")[:m], "at": at[:m], "want": at[out[:m]] + step})
+
+    ways = stored(rows.groupBy("by", "c").applyInArrow(leave, f"by {kind}, at long, want long"), "ways")
+    back = ways.select("by", "at", (-F.col("want")).alias("_want"))
+    links = as_of(back, ways.select("by", (-F.col("at")).alias("_from"), F.col("at").alias("to")), ["by"], "_want", "_from", ["to"])
+    links = stored(links.where("to is not null").select("by", "at", "to"), "links")
+    hop = lambda left, on: left.alias("l").join(links.alias("r"), F.col("l.by").eqNullSafe(F.col("r.by")) & (F.col(f"l.{on}") == F.col("r.at")))
+    reached = stored(ways.where(f"at >= {step}").groupBy("by").agg(F.min("at").alias("at")), "reached")
+    while not (more := stored(hop(reached, "at").select("l.by", F.col("r.to").alias("at")), "reached")).isEmpty():
+        reached = reached.unionByName(more)
+        links = stored(hop(links, "to").select("l.by", "l.at", "r.to"), "links")
 
-    def one(s, x):
-        hit = x - s["last"] >= step
-        return F.struct(F.when(hit, x).otherwise(s["last"]).alias("last"), F.concat(s["out"], F.array(F.struct(x.alias("at"), hit.alias("emit")))).alias("out"))
+    def mark(t: pa.Table) -> pa.Table:
+        t = t.sort_by("at")
+        n = t.column("n").to_numpy()
+        own, came = t.filter(pa.array(n > 0)), t.column("at").to_numpy()[n == 0]
+        at, emit = own.column("at").to_numpy(), np.zeros(own.num_rows, bool)
+        i = np.searchsorted(at, came[0]) if len(came) else len(at)
+        while i < len(at):
+            emit[i] = True
+            i = np.searchsorted(at, at[i] + step)
+        return pa.table({"by": own.column("by"), "at": at, "n": own.column("n"), "hit": emit})
 
-    folded = log.groupBy(by).agg(F.sort_array(F.collect_list(item)).alias("r")).select(by, F.aggregate("r", start, one, lambda s: s["out"]).alias("o"))
-    return folded.select(by, F.inline("o"))
+    both = rows.unionByName(reached.select("by", "at", F.lit(0).cast("long").alias("n"), stretch))
+    marked = both.groupBy("by", "c").applyInArrow(mark, f"by {kind}, at long, n long, hit boolean")
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i")
+    return marked.select("by", "at", "hit", each).select(F.col("by").alias(by), "at", (F.col("hit") & (F.col("i") == 1)).alias("emit"))

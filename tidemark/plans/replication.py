@@ -430,6 +430,12 @@ def _(spark, d):
     return out.select("origin", F.col("at").alias("lsn"), "emit")
 
 
+@query("win7_syncpoint_emission_all", ORACLES["win7_syncpoint_emission"].replace(" WHERE lsn <= 3000", ""))
+def _(spark, d):
+    out = progress.emit_every(event_changes(spark, d), "origin", "lsn", 40)
+    return out.select("origin", F.col("at").alias("lsn"), "emit")
+
+
 @query("win8_order_check", f"WITH {_CH} SELECT origin, bool_and(ok) AS ordered FROM (SELECT origin, coalesce(lsn > lag(lsn) OVER (PARTITION BY origin ORDER BY gid, lsn), true) AS ok FROM changes) GROUP BY origin")
 def _(spark, d):
     w = Window.partitionBy("origin").orderBy("gid", "lsn")

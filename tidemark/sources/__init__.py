@@ -3,6 +3,11 @@ relational tables, and readers for batch and stream."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cuts the lineage: df as Parquet in spark.checkpoint.dir, a temporary folder where that is unset."""
+    conf = df.sparkSession.conf
+    if not conf.get("spark.checkpoint.dir", None):
+        conf.set("spark.checkpoint.dir", "file://" + (own := tempfile.mkdtemp(prefix="tidemark-")))
+        atexit.register(shutil.rmtree, own, True)
+    path = f"{conf.get('spark.checkpoint.dir').rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def event_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A change log over the events table: one change per event, four to a transaction."""
     e = table(spark, sf_dir, "events")

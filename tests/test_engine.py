@@ -171,3 +171,21 @@ def test_emission_equals_brute_force(spark, step):
     rnd.shuffle(log)
     got = progress.emit_every(spark.createDataFrame(log, "origin string, lsn long"), "origin", "lsn", step)
     assert got.columns == ["origin", "at", "emit"] and rows(got) == sorted(want, key=repr)
+
+
+def test_grant_decides_every_request(spark, duck):
+    assert len(whole(spark, duck, "apl11_referee_grant_all")) == duck.sql("SELECT count(*) FROM events").fetchall()[0][0]
+
+
+def test_grant_equals_brute_force(spark):
+    rnd = random.Random(7)
+    asked = [(rnd.choice(["a", "b", None]), rnd.randrange(150), rnd.choice([1, 1, 2, 3, None]), rnd.choice([None, *range(9)])) for _ in range(400)]
+    first = lambda x: (x is not None, x or 0)
+    want, held = [], {}
+    for key, seq, node, gen in sorted(asked, key=lambda r: (r[1], first(r[2]), first(r[3]))):
+        now = held.get(key)
+        ok = node is not None and (now is None or (now[0] == node and None not in (gen, now[1]) and gen > now[1]))
+        held[key] = None if node is None else (node, gen) if ok else now
+        want.append((key, seq, ok, *(held[key] or (None, None))))
+    got = A.grant(spark.createDataFrame(asked, "key string, seq long, node_id int, gen_num long"))
+    assert got.columns == ["key", "seq", "granted", "holder", "holder_gen"] and rows(got) == sorted(want, key=repr)

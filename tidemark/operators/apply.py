@@ -76,18 +76,18 @@ def insert_absent(base: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame
 def grant(requests: DataFrame, key: str = "key", order: str = "seq") -> DataFrame:
     """requests (key, seq, node_id, gen_num) with `granted`, `holder`, `holder_gen`: the
     first applicant holds it, and gets it again only with a larger generation. A node_id
-    of null clears it. One key is one arbiter's decision, a handful of requests."""
-    item = F.struct(F.col(order).alias("seq"), F.col("node_id").cast("int").alias("node_id"), F.col("gen_num").cast("long").alias("gen_num"))
-    start = F.expr("named_struct('node', cast(null as int), 'gen', cast(null as bigint), 'out', cast(array() as array<struct<seq:bigint,granted:boolean,holder:int,holder_gen:bigint>>))")
-
-    def step(s, r):
-        clear = r["node_id"].isNull()
-        ok = ~clear & (s["node"].isNull() | ((s["node"] == r["node_id"]) & (r["gen_num"] > s["gen"])))
-        ok = F.coalesce(ok, F.lit(False))
-        node = F.when(clear, F.lit(None).cast("int")).when(ok, r["node_id"]).otherwise(s["node"])
-        gen = F.when(clear, F.lit(None).cast("long")).when(ok, r["gen_num"]).otherwise(s["gen"])
-        row = F.struct(r["seq"].cast("long").alias("seq"), ok.alias("granted"), node.alias("holder"), gen.alias("holder_gen"))
-        return F.struct(node.alias("node"), gen.alias("gen"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    folded = requests.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("r")).select(key, F.aggregate("r", start, step, lambda s: s["out"]).alias("o"))
-    return folded.select(key, F.inline("o"))
+    of null clears it; a holder without a generation keeps it until then. Windows on the
+    key, cut by its clears; equal positions go by node_id, then gen_num, nulls first."""
+    rows = requests.select(key, F.col(order).cast("long").alias("seq"), F.col("node_id").cast("int").alias("node"), F.col("gen_num").cast("long").alias("gen"))
+    by = [F.col("seq"), F.col("node"), F.col("gen")]
+    so_far = lambda *keys: Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_cleared", F.count_if(F.col("node").isNull()).over(so_far(key)))
+    w = so_far(key, "_cleared")
+    ask = F.when(F.col("node").isNotNull(), F.struct("node", "gen"))
+    rows = rows.withColumns({"_first": F.first(ask, ignorenulls=True).over(w), "_nth": F.count("node").over(w)})
+    own = F.when((F.col("node") == F.col("_first.node")) & F.col("_first.gen").isNotNull(), F.col("gen"))
+    rows = rows.withColumn("_own", own)
+    before = F.max("_own").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({"_gen": F.max("_own").over(w), "_before": before})
+    ok = F.col("node").isNotNull() & ((F.col("_nth") == 1) | F.coalesce(F.col("_own") > F.col("_before"), F.lit(False)))
+    return rows.select(key, "seq", ok.alias("granted"), F.col("_first.node").alias("holder"), F.col("_gen").alias("holder_gen"))

@@ -614,6 +614,12 @@ def _(spark, d):
     return A.grant(e)
 
 
+@query("apl11_referee_grant_all", ORACLES["apl11_referee_grant"].replace(" WHERE event_id < 400", ""))
+def _(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.col("event_id") % 2 + 1).alias("node_id"), (F.col("event_id") % 11).alias("gen_num"))
+    return A.grant(e)
+
+
 @query("apl12_referee_clear", "SELECT event_id AS id FROM events WHERE event_id % 11 < 4 OR (event_id % 2 + 1 = 1 AND event_id % 11 <= 7)")
 def _(spark, d):
     return table(spark, d, "events").where((F.col("event_id") % 11 < 4) | ((F.col("event_id") % 2 + 1 == 1) & (F.col("event_id") % 11 <= 7))).select(F.col("event_id").alias("id"))

@@ -189,3 +189,12 @@ def test_grant_equals_brute_force(spark):
         want.append((key, seq, ok, *(held[key] or (None, None))))
     got = A.grant(spark.createDataFrame(asked, "key string, seq long, node_id int, gen_num long"))
     assert got.columns == ["key", "seq", "granted", "holder", "holder_gen"] and rows(got) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("name", ["apl14_latest_syncpoints", "jn1_jn2_left_theta_pairs", "agg3_recovery_horizon", "agg4_oldest_syncpoint", "srt3_multi_key", "apl8_apl9_insert_absent", "apl13_syncpoint_cleanup", "str9_retention"])
+def test_points_of_every_event(spark, duck, name):
+    whole(spark, duck, f"{name}_all")
+
+
+def test_as_of_translates_every_change(spark, duck):
+    assert len(whole(spark, duck, "jn6_apl15_as_of_all")) == duck.sql("SELECT count(*) FROM events").fetchall()[0][0]

@@ -33,11 +33,15 @@ def _nodes(spark, d, n=3):
     return table(spark, d, "nation").where(f"n_nationkey < {n}").select((F.col("n_nationkey") + 1).alias("id"))
 
 
-def _points(spark, d):
-    e = table(spark, d, "events").where("event_id % 100 = 0").select((F.col("user_id") % 3 + 1).cast("int").alias("origin"), (F.col("event_id") + 1).alias("origin_lsn"))
+def _points(spark, d, which="event_id % 100 = 0"):
+    e = table(spark, d, "events").where(which).select((F.col("user_id") % 3 + 1).cast("int").alias("origin"), (F.col("event_id") + 1).alias("origin_lsn"))
     return e.join(_nodes(spark, d).select(F.col("id").alias("receiver")), F.expr("receiver <> origin")).withColumn("receiver_lsn", F.col("origin_lsn") * 10 + F.col("receiver"))
 
 
+def _all_points(spark, d):
+    return _points(spark, d, "true")
+
+
 def _votes(spark, d):
     e, n = table(spark, d, "events"), _nodes(spark, d)
     x = F.expr
@@ -239,8 +243,8 @@ _LATEST = """SELECT o.id AS origin, r.id AS receiver, coalesce(max(p.origin_lsn)
 
 
 @query("apl14_latest_syncpoints", f"WITH {_NODES}, {_PTS} {_LATEST}")
-def _(spark, d):
-    return progress.latest(_points(spark, d), _nodes(spark, d))
+def _(spark, d, points=_points):
+    return progress.latest(points(spark, d), _nodes(spark, d))
 
 
 QUERIES["jn1_jn2_left_theta_pairs"], ORACLES["jn1_jn2_left_theta_pairs"] = QUERIES["apl14_latest_syncpoints"], ORACLES["apl14_latest_syncpoints"]
@@ -267,9 +271,9 @@ _ASOF = """SELECT w.lsn, w.origin, max_by(p.receiver_lsn, p.origin_lsn) AS recei
 
 
 @query("jn6_apl15_as_of", f"WITH {_CH}, {_NODES}, {_PTS} {_ASOF}")
-def _(spark, d):
+def _(spark, d, points=_points):
     left = event_changes(spark, d).where("lsn % 37 = 0").select("lsn", F.col("origin").cast("int").alias("origin"))
-    return progress.as_of(left, _points(spark, d).where("receiver = 1"), ["origin"], "lsn", "origin_lsn", ["receiver_lsn"]).withColumn("origin", F.col("origin").cast("long"))
+    return progress.as_of(left, points(spark, d).where("receiver = 1"), ["origin"], "lsn", "origin_lsn", ["receiver_lsn"]).withColumn("origin", F.col("origin").cast("long"))
 
 
 @query("jn7_semi_delete", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
@@ -311,13 +315,13 @@ def _(spark, d):
 @query("agg3_recovery_horizon", f"""WITH {_NODES}, {_PTS}, latest AS ({_LATEST}), asked AS (SELECT l.*, n.id AS sender FROM latest l JOIN nodes n ON n.id <> l.receiver WHERE l.origin_lsn > 0)
     SELECT sender, min(CASE WHEN origin = sender THEN origin_lsn ELSE coalesce((SELECT max(p.receiver_lsn) FROM points p WHERE p.origin = asked.origin AND p.receiver = asked.sender AND p.origin_lsn <= asked.origin_lsn), 0) END) AS horizon
     FROM asked GROUP BY sender""")
-def _(spark, d):
-    return progress.horizons(_points(spark, d), _nodes(spark, d))
+def _(spark, d, points=_points):
+    return progress.horizons(points(spark, d), _nodes(spark, d))
 
 
 @query("agg4_oldest_syncpoint", f"WITH {_NODES}, {_PTS} SELECT origin, min(origin_lsn) AS origin_lsn FROM points GROUP BY origin")
-def _(spark, d):
-    return _points(spark, d).groupBy("origin").agg(F.min("origin_lsn").alias("origin_lsn"))
+def _(spark, d, points=_points):
+    return points(spark, d).groupBy("origin").agg(F.min("origin_lsn").alias("origin_lsn"))
 
 
 @query("agg5_win1_latest_per_key", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
@@ -453,8 +457,8 @@ def _(spark, d):
 
 
 @query("srt3_multi_key", f"WITH {_NODES}, {_PTS} SELECT * FROM points ORDER BY origin, receiver, origin_lsn")
-def _(spark, d):
-    return _points(spark, d).orderBy("origin", "receiver", "origin_lsn")
+def _(spark, d, points=_points):
+    return points(spark, d).orderBy("origin", "receiver", "origin_lsn")
 
 
 @query("srt5_numeric_text", "SELECT p_partkey::VARCHAR AS xid FROM part ORDER BY xid::BIGINT")
@@ -594,8 +598,8 @@ def _(spark, d):
 
 
 @query("apl8_apl9_insert_absent", f"WITH {_NODES}, {_PTS} SELECT DISTINCT receiver, origin, origin_lsn FROM points")
-def _(spark, d):
-    p = _points(spark, d).select("receiver", "origin", "origin_lsn")
+def _(spark, d, points=_points):
+    p = points(spark, d).select("receiver", "origin", "origin_lsn")
     return A.insert_absent(p.where("origin_lsn % 200 = 1"), p, ["receiver", "origin", "origin_lsn"])
 
 
@@ -627,9 +631,9 @@ def _(spark, d):
 
 @query("apl13_syncpoint_cleanup", f"""WITH {_NODES}, {_PTS}, b AS (SELECT 2 AS origin, 500 AS ep, 400 AS ap UNION ALL SELECT 3, 600, NULL)
     SELECT p.* FROM points p LEFT JOIN b USING (origin) WHERE NOT (p.receiver = 1 AND coalesce(p.origin_lsn < ep AND p.origin_lsn < ap, false))""")
-def _(spark, d):
+def _(spark, d, points=_points):
     bounds = spark.createDataFrame([(2, 500, 400), (3, 600, None)], "origin int, kept_ep long, kept_ap long")
-    return progress.cleanup(_points(spark, d), bounds, 1)
+    return progress.cleanup(points(spark, d), bounds, 1)
 
 
 @query("apl16_restride", "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 2 THEN p_partkey ELSE (p_partkey // 3 + 1) * 3 + 2 END AS last_value FROM part")
@@ -745,8 +749,8 @@ def _(spark, d):
 
 
 @query("str9_retention", f"WITH {_NODES}, {_PTS} SELECT origin, min(m) AS keep_from FROM (SELECT origin, receiver, max(origin_lsn) AS m FROM points GROUP BY ALL) GROUP BY origin")
-def _(spark, d):
-    return _points(spark, d).groupBy("origin", "receiver").agg(F.max("origin_lsn").alias("m")).groupBy("origin").agg(F.min("m").alias("keep_from"))
+def _(spark, d, points=_points):
+    return points(spark, d).groupBy("origin", "receiver").agg(F.max("origin_lsn").alias("m")).groupBy("origin").agg(F.min("m").alias("keep_from"))
 
 
 #: Which statements replicate, and how.
@@ -759,3 +763,18 @@ STATEMENTS = {
 @query("apl21_statement_classes", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in STATEMENTS.items()) + ") t(tag, class)")
 def _(spark, d):
     return spark.createDataFrame(list(STATEMENTS.items()), "tag string, class string")
+
+
+# --- sync points of every event ----------------------------------------------
+
+_EVERY = " WHERE e.event_id % 100 = 0"
+for _name in ("apl14_latest_syncpoints", "jn1_jn2_left_theta_pairs", "agg3_recovery_horizon", "agg4_oldest_syncpoint", "srt3_multi_key", "apl8_apl9_insert_absent", "apl13_syncpoint_cleanup", "str9_retention"):
+    QUERIES[f"{_name}_all"] = lambda spark, d, f=QUERIES[_name]: f(spark, d, _all_points)
+    ORACLES[f"{_name}_all"] = ORACLES[_name].replace(_EVERY, "")
+
+
+@query("jn6_apl15_as_of_all", f"""WITH {_CH}, {_NODES}, {_PTS.replace(_EVERY, "")} SELECT w.lsn, w.origin, p.receiver_lsn FROM changes w
+    ASOF LEFT JOIN (SELECT * FROM points WHERE receiver = 1) p ON p.origin = w.origin AND w.lsn >= p.origin_lsn""")
+def _(spark, d):
+    left = event_changes(spark, d).select("lsn", F.col("origin").cast("int").alias("origin"))
+    return progress.as_of(left, _all_points(spark, d).where("receiver = 1"), ["origin"], "lsn", "origin_lsn", ["receiver_lsn"]).withColumn("origin", F.col("origin").cast("long"))

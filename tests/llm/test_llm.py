@@ -289,6 +289,19 @@ def test_neighbours(spark):
     assert ann.nearest(df.limit(0), is_query=F.lit(True)).count() == 0
 
 
+def test_small_table_with_a_cluster_is_searched_exactly(spark):
+    rnd = np.random.default_rng(4)
+    x = rnd.normal(size=(5000, 64))
+    x[:2500] = x[0] / np.linalg.norm(x[0]) + 0.3 / 8 * x[:2500]  # near copies; 2,250 share a digit in the first tree
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.nearest(df, is_query=F.col("id") % 100 == 0, k=20).toPandas()
+    for q in range(0, 5000, 100):
+        s = x.astype(np.float64) @ x[q].astype(np.float64)
+        s[q] = -9e9
+        assert set(got[got.query_id == q].vec_id) == set(np.argsort(-s)[:20])
+
+
 # --- pipeline ---
 
 

@@ -181,7 +181,8 @@ def _search(rows: DataFrame, wanted: DataFrame, dims: int, longest: float, depth
     asked = asking.select("id", "v").mapInArrow(hashed(True, False), schema).select("id", "tree", steps).select("id", "tree", "s.d", "s.p")
     sums = asked.join(held, ["tree", "d", "p"]).groupBy("id", "d").agg(F.sum("n").alias("n"))
     stop = sums.groupBy("id").agg(F.coalesce(F.max(F.when(F.col("n") >= least, F.col("d"))), F.lit(depth)).alias("stop"))
-    qs = qs.join(stop, "id", "left").withColumn("stop", F.coalesce("stop", F.lit(depth)))
+    # At depth 0 there is one tree, and only all of it is exact.
+    qs = qs.join(stop, "id", "left").withColumn("stop", F.coalesce("stop", F.lit(depth))) if depth else qs.withColumn("stop", F.lit(0))
     # Segments: rows and queries of a prefix, salted where there are many of either.
     both = xs.select("tree", prefix(depth).alias("p"), "code", "id", "v", F.lit(-1).alias("stop")).unionByName(qs.select("tree", prefix(depth).alias("p"), "code", "id", "v", "stop"))
     by = F.col("stop") < 0

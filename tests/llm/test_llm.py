@@ -136,14 +136,40 @@ def test_tokens_equal_the_library(spark):
 
 
 def test_viterbi_streams_without_cuts():
+    """Whole texts as one stream: the same ids, and a window that stays small."""
     import public_tokenizers
+    import pyarrow.parquet as pq
     import sentencepiece
 
     path = public_tokenizers.path(token_counts.MODEL)
-    sp, v = sentencepiece.SentencePieceProcessor(model_file=path), pieces.load(path)
+    sp, v = sentencepiece.SentencePieceProcessor(model_file=path), sentencepieces.lattice(path)
+    known = set(v.v.ids)
     for t in hard_texts():
+        t = "".join(c for c in t or "" if c == " " or c in known)
         if t:
-            assert np.frombuffer(sentencepieces.Viterbi(v).encode(v.prepared(t)), "<i4").tolist() == sp.encode(t)
+            assert list(v.stream(v.v.prepared(t))) == sp.encode(t)
+    for t in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()[:20]:
+        t = "".join(c for c in t or "" if c == " " or c in known)
+        if len(t) > 100:
+            assert list(v.stream(v.v.prepared(t))) == sp.encode(t)
+            assert v.committed >= len(t) / 200 and v.held <= 4 * v.longest
+
+
+def test_long_and_unbroken_texts(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path(token_counts.MODEL)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["ab" * 2000, "the cat " * 400_000, None, "日本語" * 500]
+    got = sentencepieces._lists(pa.array(texts), path)
+    assert [g or [] for g in got.to_pylist()] == [sp.encode(t or "") for t in texts]
+    assert sentencepieces.decoded(got, path).to_pylist() == texts
+    with pytest.raises(ValueError):
+        sentencepieces.decoded(pa.array([[32000]], pa.list_(pa.int32())), path)
+    df = spark.createDataFrame([(1, "a b", "x", 2), (1, "a b", "x", 2)], "doc_id long, text string, decoded string, ids int")
+    out = sentencepieces.decode(sentencepieces.encode(df))
+    assert [x.decoded for x in out.collect()] == ["a b", "a b"] and sentencepieces.encode(df.limit(0)).count() == 0
 
 
 # --- html ---

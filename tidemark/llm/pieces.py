@@ -47,10 +47,11 @@ class Pieces:
     def segments(self, text: str) -> list[str]:
         return self.cut.findall(self.prepared(text))
 
-    def merged(self, s: str) -> tuple[list[str], int]:
+    def merged(self, s: str, short_of: str | None = None) -> tuple[list[str], int]:
         """The symbols left of s when the lowest-ranked adjacent pair (the leftmost
         of equals) is merged again and again, and the number of merges: a heap of
-        pairs over a linked list of symbols."""
+        pairs over a linked list of symbols. With `short_of`, up to the merge that
+        gives it."""
         n, rank = len(s), self.rank
         left, right, symbol = list(range(-1, n - 1)), list(range(1, n + 1)), list(s)
         heap = [(rank[p], i, p) for i in range(n - 1) if (p := s[i : i + 2]) in rank]
@@ -58,6 +59,8 @@ class Pieces:
         merges = 0
         while heap:
             _, i, p = heapq.heappop(heap)
+            if p == short_of:
+                break
             j = right[i]
             if j >= n or not symbol[i] or symbol[i] + symbol[j] != p:
                 continue  # one of the two has been merged since
@@ -72,6 +75,11 @@ class Pieces:
                 heapq.heappush(heap, (rank[q], h, q))
         return [x for x in symbol if x], merges
 
+    def split(self, p: str) -> int | None:
+        """Where the last merge joins p, or None where its merging stops before."""
+        left = self.merged(p, p)[0]
+        return len(left[0]) if len(left) == 2 else None
+
     def count(self, s: str) -> int:
         """Number of tokens of a segment: its symbols less the merges; a character
         outside the vocabulary is as many as it has bytes."""

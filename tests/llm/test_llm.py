@@ -70,15 +70,18 @@ def test_ngram_join_equals_brute_force(spark, rounds):
                 c[r.randrange(len(c))] = f"z{r.randrange(99)}"
             texts.append(" ".join(c))
     s = [shingles(t) for t in texts]
-    parent = list(range(len(s)))
+    parent, links = list(range(len(s))), [0] * len(s)
     for i in range(len(s)):
         for j in range(i):
             n = len(s[i] & s[j])
             if n and 100 * n >= 75 * len(s[i] | s[j]):
+                links[i] += 1
+                links[j] += 1
                 a, b = parent[i], parent[j]
                 parent = [min(a, b) if p in (a, b) else p for p in parent]
-    got = {x.doc_id: x for x in ngram_join.similar(docs(spark, texts), star_rounds=rounds).collect()}
-    assert [(got[i + 1].n_shingles, got[i + 1].component_id) for i in range(len(s))] == [(len(s[i]), parent[i] + 1) for i in range(len(s))]
+    # small bounds: hot tokens are dealt out, and components take several blocks
+    got = {x.doc_id: x for x in ngram_join.similar(docs(spark, texts), star_rounds=rounds, hot=4 if rounds else 1 << 17, block=2 if rounds else 512).collect()}
+    assert [(got[i + 1].n_shingles, got[i + 1].component_id, got[i + 1].n_links) for i in range(len(s))] == [(len(s[i]), parent[i] + 1, links[i]) for i in range(len(s))]
 
 
 def test_ngram_join_edges(spark):

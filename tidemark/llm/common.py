@@ -26,10 +26,12 @@ SLICE_BYTES = 1 << 20
 
 def scratch(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: spark.checkpoint.dir, read from
-    the session. Where it is unset (tests in local mode), a temporary folder is
-    made and set once."""
+    the session. Where it is unset in local mode (tests), a temporary folder is made
+    and set once; on a cluster that raises, since executors do not share such a folder."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", place)
         atexit.register(__import__("shutil").rmtree, place[7:], True)
@@ -47,6 +49,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, compared as Spark does, without case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text, 0 for null, as a JVM expression."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

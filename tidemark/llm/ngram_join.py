@@ -8,32 +8,41 @@ nothing. Two sets link when 100 * intersection >= percent * union.
    Rarest bucket first, then hash, is one total order for everyone: any order gives
    right results, this one keeps frequent passages out of the prefixes.
 2. Prefixes. Linked sets share a token among the first n - ceil(percent/100 * n) + 1.
-   Documents with the same size and prefix are one group, and only groups enter the
-   inverted lists; a token of one group only is dropped after a partial count.
-3. Group pairs, expanded to members (distinct sets). In each list the members are
-   compared with one hub: first the one in whose order the token stands foremost (the
-   original among its edited copies), later a random one of that list. Pairs that
-   size, position or the parity bitmaps of the whole sets rule out are filtered; each
-   member's nearest hub is then verified on whole sets. Lists whose members are then in one component need
-   nothing more; after a few such rounds, every pair left that lies in two components
-   is filtered and verified likewise. So no link between different components is
-   lost, and a large group of near copies costs stars instead of all its pairs.
-
-Results are components; equal sets are one member. Defined results: null text is
-empty; a null doc_id links with nothing (component null); rows that repeat a doc_id
-are one document that links through any of its texts; empty table, empty result.
+   Documents with the same size and prefix are one group, and the inverted lists hold
+   groups; one shuffle by token makes them and drops tokens of one group only. A token
+   that may be in very many documents is dealt over several lists.
+3. Group pairs. Every group of a list meets the list's hub: the one in whose order the
+   token stands foremost (the original among its edited copies), in later rounds a
+   random one of the lists that still span several components. Pairs of groups that
+   size or position rule out are filtered; the rest are made distinct and expanded to
+   their members (distinct sets); bitmaps of the whole sets filter those, and each
+   member's nearest hub is verified on whole sets. Rounds end when one links nothing
+   new. Then all pairs of groups that meet in a list and span several components are
+   filtered, expanded and verified likewise, so no link between components is lost.
+4. Links. Each lies within a component, so the sets of a component are dealt into
+   blocks, and every pair of blocks is compared whole in one task, which counts the
+   links of each set; no pair leaves the task. Work is quadratic in the different texts
+   of one component; equal sets count as one with their number of copies.
+
+Results: component_id, the least doc_id reachable by links, and n_links, the number of
+other documents linked to the document. Defined results: null text is empty and has
+no links; a null doc_id links with nothing (component null); rows that repeat a doc_id
+are one document that links through any of its texts, and n_links is that of the row's
+text; texts of any length are compared whole; equal rows get equal results; columns
+other than id and text do not enter; empty table, empty result.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import int64, mix, read, slices, span_hashes, stored, word_spans
+from .common import free, int64, mix, read, slices, span_hashes, stored, word_spans
 from .components import components
 
 WORDS = 5
@@ -41,7 +50,15 @@ PERCENT = 75
 #: Buckets of the frequency table: 16 MB of counts, whatever the corpus.
 BUCKETS = 1 << 22
 BLOCK = 1 << 14
-STAR_ROUNDS = 4
+STAR_ROUNDS = 3
+#: Texts that a task takes into numpy at a time.
+ROWS = 1024
+#: Occurrences of a token's bucket from which its list is dealt out, and so many to a part.
+HOT = 1 << 17
+#: Partners of a document that meet it in one task.
+VERIFY_BLOCK = 1024
+#: Sets of 512 shingles in a block when the links of a component are counted.
+LINK_BLOCK = 512
 #: Words of 64 bits in a parity bitmap.
 BITMAP = 8
 #: Ids up to this many (8 bytes each) are broadcast to pick documents; beyond, a shuffled join picks them.
@@ -116,7 +133,7 @@ def bucket_counts(df: DataFrame, text: str, words: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], ["k", "counts"])
 
     out = np.zeros(BUCKETS, np.int32)
-    for row in df.select(text).mapInArrow(count, "k long, counts binary").groupBy("k").applyInArrow(add, "k long, counts binary").collect():  # 64 blocks of 64 KB
+    for row in df.select(text).mapInArrow(count, "k long, counts binary").groupBy("k").applyInArrow(add, "k long, counts binary").collect():  # 256 blocks of 64 KB
         out[row.k : row.k + BLOCK] = np.frombuffer(row.counts, np.int32)
     return out
 
@@ -127,8 +144,8 @@ def _ordered(s: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     return s[np.argsort(rank, kind="stable")[:size]]
 
 
-def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS) -> DataFrame:
-    """One row per row of df: doc_id, n_shingles, component_id."""
+def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS, links: bool = True, hot: int = HOT, block: int = LINK_BLOCK) -> DataFrame:
+    """One row per row of df: doc_id, n_shingles, component_id and, if `links`, n_links."""
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
     bitmap = [f"b{j}" for j in range(BITMAP)]
@@ -136,128 +153,223 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
 
     def describe(batches):
         for b in batches:
-            n, k1, k2, g, bits = [], [], [], [], []
-            for s in shingle_sets(b.column("text"), words):
-                p = _ordered(s, shared.value, prefix_length(len(s), percent))
-                n.append(len(s))
-                k1.append(_set_key(s, 1))
-                k2.append(_set_key(s, 2))
-                g.append(_set_key(p, len(s) + 3))
-                bits.append(parity_bitmap(s))
-            bits = np.array(bits, np.int64).reshape(-1, BITMAP)
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(n, pa.int64()), *(int64(np.array(x, np.uint64)) for x in (k1, k2, g)), *(pa.array(bits[:, j]) for j in range(BITMAP))], ["doc", "n", "k1", "k2", "g", *bitmap])
-
-    def prefixes(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                tokens, sizes, ns, gs = [], [], [], []
-                for s in shingle_sets(b.column("text").slice(lo, 500), words):
+            for lo in range(0, b.num_rows, ROWS):
+                part = b.slice(lo, ROWS)
+                n, k1, k2, g, bits, first = [], [], [], [], [], []
+                for s in shingle_sets(part.column("text"), words):
                     p = _ordered(s, shared.value, prefix_length(len(s), percent))
-                    tokens.append(p)
-                    sizes.append(len(p))
-                    ns.append(len(s))
-                    gs.append(_set_key(p, len(s) + 3))
-                sizes = np.array(sizes)
-                pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                yield pa.RecordBatch.from_arrays([int64(np.concatenate(tokens)), int64(np.repeat(np.array(gs, np.uint64), sizes)), pa.array(np.repeat(np.array(ns, np.int32), sizes)), pa.array(pos.astype(np.int32))], ["token", "g", "n", "pos"])
-
-    described = stored(docs.mapInArrow(describe, "doc long, n long, k1 long, k2 long, g long, " + ", ".join(f"{x} long" for x in bitmap)), "sets")
+                    n.append(len(s))
+                    k1.append(_set_key(s, 1))
+                    k2.append(_set_key(s, 2))
+                    g.append(_set_key(p, len(s) + 3))
+                    bits.append(parity_bitmap(s))
+                    first.append(p.tobytes())
+                bits = np.array(bits, np.int64).reshape(-1, BITMAP)
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(n, pa.int32()), *(int64(np.array(x, np.uint64)) for x in (k1, k2, g)), *(pa.array(bits[:, j]) for j in range(BITMAP)), pa.array(first, pa.binary())], ["doc", "n", "k1", "k2", "g", *bitmap, "prefix"])
+
+    def tokens(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, ROWS):
+                part = b.slice(lo, ROWS)
+                flat = np.frombuffer(b"".join(part.column("prefix").to_pylist()), np.uint64)
+                sizes = pa.compute.binary_length(part.column("prefix")).to_numpy() // 8
+                pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                g = np.repeat(part.column("g").to_numpy(), sizes)
+                # a token that may be in very many documents is dealt over several lists
+                much = shared.value[(flat & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.int64) // hot
+                salt = np.where(much > 0, 1 + mix(g.view(np.uint64)).astype(np.int64) % (much + 1), 0)
+                yield pa.RecordBatch.from_arrays([int64(flat), pa.array(salt.astype(np.int32)), pa.array(g), pa.array(np.repeat(part.column("n").to_numpy(), sizes)), pa.array(pos.astype(np.int32))], ["token", "salt", "g", "n", "pos"])
+
+    described = stored(docs.mapInArrow(describe, "doc long, n int, k1 long, k2 long, g long, " + ", ".join(f"{x} long" for x in bitmap) + ", prefix binary"), "sets")
     own = ["n", "k1", "k2"]
-    sets = stored(described.where("n > 0 and doc is not null").groupBy(*own, "g").agg(F.min("doc").alias("node"), *(F.max(x).alias(x) for x in bitmap)), "members")
-    members = sets.select("g", "node", F.col("n").cast("int").alias("n")).distinct()
-
-    listed = docs.where("doc is not null").select("text").mapInArrow(prefixes, "token long, g long, n int, pos int")
-    several = listed.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token")
-    lists = listed.join(several, "token", "left_semi").distinct()
-    # A group of several sets is a list of its own.
-    crowded = members.groupBy("g").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("g")
-    inner = members.join(crowded, "g", "left_semi").select(F.col("g").alias("token"), "node", "n", F.lit(0).alias("pos"))
-    postings = stored(lists.join(members.select("g", "node"), "g").select("token", "node", "n", "pos").unionByName(inner), "postings")
-
-    where_from = described.select("doc", *own).join(sets, own).select("doc", "node")
+    real = described.where("n > 0 and doc is not null")
+    sets = stored(real.groupBy(*own, "g").agg(F.min("doc").alias("node"), F.countDistinct("doc").alias("copies"), *(F.max(x).alias(x) for x in bitmap)), "members")
+    marks = sets.select("node", "g", "n", *bitmap).dropDuplicates(["node", "g"])
+
+    # Inverted lists of groups. In a list of two there is one pair; of longer lists all rows are kept.
+    by = Window.partitionBy("token", "salt")
+    lists = real.select("g", "n", "prefix").mapInArrow(tokens, "token long, salt int, g long, n int, pos int")
+    lists = lists.withColumns({"lo": F.min("g").over(by), "hi": F.max("g").over(by)}).where("lo <> hi or salt > 0")
+    lists = lists.withColumns({"many": (F.col("salt") > 0) | F.max((F.col("g") != F.col("lo")) & (F.col("g") != F.col("hi"))).over(by), "hub": F.min(F.struct("pos", "g", "n")).over(by)})
+    size = f"{percent}L * greatest(n, {{y}}n) <= 100L * least(n, {{y}}n)"
+    place = f"(100L + {percent}L) * (least(pos, {{y}}pos) + least(n - pos, {{y}}n - {{y}}pos)) >= {percent}L * (n + {{y}}n)"
+    passes = lambda y: " and ".join(x.format(y=y) for x in (size, place))
+    lists = stored(lists.where(F.col("many") | (F.col("g") != F.col("hub.g")) & F.expr(passes("hub."))).select("token", "salt", "g", "n", "pos", "hub", "many").distinct(), "lists")
+    group_pairs = lambda rows: rows.where("g <> hub.g").where(passes("hub.")).select("g", F.col("hub.g").alias("h"), (~F.col("many")).alias("two")).groupBy("g", "h").agg(F.max("two").alias("two"))
+
+    # Groups of several sets: their members meet their least one; `inner` for the last round.
+    least = marks.groupBy("g").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("members"))
+    inner = stored(marks.join(least.where("members > 1"), "g").select("g", "node", "rep"), "inner")
+    where_from = described.select("doc", *own).where("doc is not null").join(sets.select(*own, "node"), own).select("doc", "node")
     repeats = where_from.groupBy("doc").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    links = stored(where_from.join(repeats, "doc").select(F.col("lo").alias("a"), F.col("node").alias("b")).where("a <> b").distinct(), "links")
-    found = [links]
-    tried = None
+    edges = [stored(where_from.join(repeats, "doc").select(F.col("lo").alias("a"), F.col("node").alias("b")).where("a <> b").distinct(), "links")]
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) of sets that size and bitmaps leave, and by how many bits they differ."""
+        x = marks.select(F.col("node").alias("a"), "n", *bitmap)
+        y = marks.select(F.col("node").alias("b"), F.struct("n", *bitmap).alias("y"))
+        bits = " + ".join(f"bit_count({x} ^ y.{x})" for x in bitmap)
+        both = pairs.join(x, "a").join(y, "b").where(size.format(y="y.")).withColumn("bits", F.expr(bits))
+        return both.where(f"(100L + {percent}L) * bits <= (100L - {percent}L) * (n + y.n)").select("a", "b", "bits")
+
     comp = None
-    for turn in range(star_rounds + 1):
-        if comp is not None:
-            postings = postings.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+
+    def grouped_components() -> DataFrame:
+        """Of each group the least and the largest component of its sets."""
+        named = marks.select("g", "node").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
+        return named.groupBy("g").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi"))
+
+    twos = None
+    for turn in range(star_rounds):
+        if turn:
+            # another hub in each list that still spans several components
+            again = Window.partitionBy("token", "salt")
+            rows = lists.where("many").join(grouped_components(), "g").withColumns({"least": F.min("c_lo").over(again), "most": F.max("c_hi").over(again)}).where("least <> most")
+            rows = rows.withColumn("hub", F.min(F.struct(F.xxhash64("g", "token", F.lit(turn)).alias("h"), "pos", "g", "n", "c_lo", "c_hi")).over(again))
+            met = group_pairs(rows.where("c_lo <> hub.c_lo or c_lo <> c_hi or hub.c_lo <> hub.c_hi"))
         else:
-            postings = postings.withColumn("comp", F.col("node"))
-        first = F.xxhash64("node", "token", F.lit(turn)) if turn else F.col("pos").cast("long")
-        apart = postings.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(first.alias("h"), "node", "n", "pos", "comp")).alias("hub")).where("lo <> hi")
-        postings = stored(postings.join(apart.select("token", "hub"), "token"), "postings")
-        if postings.isEmpty():
+            met = stored(group_pairs(lists), "met")
+            twos = met.where("two").select("g", "h")
+        # expanded: every member of the one group with one member of the other
+        met = met.select("g", "h").join(marks.select("g", F.col("node").alias("a")), "g").join(least.select(F.col("g").alias("h"), F.col("rep").alias("b")), "h").select("a", "b")
+        if not turn:
+            met = met.unionByName(inner.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")))
+        nearest = alike(met.where("a <> b").distinct()).groupBy("a").agg(F.min(F.struct("bits", "b")).alias("m")).select("a", "m.b")
+        found = stored(verified(docs, nearest, words, percent), "links")
+        if turn and found.isEmpty():
             break
-        # Both ends of a pair: sizes, positions and, below or in the join itself, bitmaps.
-        size = f"{percent}L * greatest(n, {{y}}n) <= 100L * least(n, {{y}}n)"
-        place = f"(100L + {percent}L) * (least(pos, {{y}}pos) + least(n - pos, {{y}}n - {{y}}pos)) >= {percent}L * (n + {{y}}n)"
-        bits = f"(100L + {percent}L) * ({' + '.join(f'bit_count({x} ^ {{y}}{x})' for x in bitmap)}) <= (100L - {percent}L) * (n + {{y}}n)"
-        ends = lambda y: (F.least("node", y + "node").alias("a"), F.greatest("node", y + "node").alias("b"))
-        marks = sets.select("node", "n", *bitmap)
-        if turn < star_rounds:
-            met = postings.where("comp <> hub.comp").where(size.format(y="hub.")).where(place.format(y="hub.")).select("node", F.col("hub.node").alias("to")).distinct()
-            x, y = marks, marks.select(F.col("node").alias("to"), F.struct("n", *bitmap).alias("y"))
-            met = met.join(x, "node").join(y, "to").where(bits.format(y="y."))
-            # of the hubs of its lists a member tries the one whose bitmap is nearest
-            apart_by = F.expr(" + ".join(f"bit_count({x} ^ y.{x})" for x in bitmap))
-            best = met.groupBy("node").agg(F.min(F.struct(apart_by.alias("bits"), "to")).alias("m"))
-            pairs = best.select(F.least("node", "m.to").alias("a"), F.greatest("node", "m.to").alias("b")).distinct()
-        else:
-            left = postings.select("token", "node", "n", "pos", "comp").join(marks.drop("n"), "node")
-            right = left.select(F.col("token").alias("t"), F.struct("node", "n", "pos", "comp", *bitmap).alias("y"))
-            meet = "token = t and comp <> y.comp and node < y.node and " + " and ".join(x.format(y="y.") for x in (size, place, bits))
-            pairs = left.join(right, F.expr(meet)).select(*ends("y.")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found.append(stored(verified(docs, pairs, words, percent), "links"))
-        postings = postings.drop("hub")
-        edges = found[0]
-        for e in found[1:]:
-            edges = edges.unionByName(e)
-        comp = stored(components(edges).select("node", "component"), "components")
+        edges.append(found)
+        comp = stored(components(union(edges)), "components")
+    # What is left: all pairs of groups that meet in a list and span several components.
     if comp is None:
-        comp = components(links).select("node", "component")
-    named = sets.select(*own, "node").join(comp, "node", "left").select(*own, F.coalesce("component", "node").alias("c"))
-    out = described.join(named, own, "left")
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("c", "doc")).alias("component_id"))
+        comp = stored(components(union(edges)), "components")
+        twos = group_pairs(lists.where("not many")).select("g", "h")
+    named = stored(grouped_components(), "grouped")
+    tagged = lists.where("many").select("token", "g", "n", "pos").distinct().join(named, "g")
+    apart = tagged.groupBy("token").agg(F.min("c_lo").alias("least"), F.max("c_hi").alias("most")).where("least <> most").select("token")
+    left = tagged.join(apart, "token")
+    right = left.select(F.col("token").alias("t"), F.struct("g", "n", "pos", "c_lo", "c_hi").alias("y"))
+    differ = "(c_lo <> y.c_lo or c_lo <> c_hi or y.c_lo <> y.c_hi)"
+    rest = left.join(right, F.expr(f"token = t and g < y.g and {differ} and {passes('y.')}")).select("g", F.col("y.g").alias("h")).unionByName(twos).distinct()
+    member = marks.select("g", "node").join(comp, "node", "left").select("g", "node", F.coalesce("component", "node").alias("c"))
+    x, y = member.select("g", F.col("node").alias("a"), "c"), member.select(F.col("g").alias("h"), F.col("node").alias("b"), F.col("c").alias("d"))
+    rest = rest.join(x, "g").join(y, "h").where("c <> d").select("a", "b")
+    mates = inner.select("g", "node").join(comp, "node", "left").select("g", "node", F.coalesce("component", "node").alias("c"))
+    within = mates.join(mates.select("g", F.col("node").alias("b"), F.col("c").alias("d")), "g").where("node < b and c <> d").select(F.col("node").alias("a"), "b")
+    rest = alike(rest.unionByName(within).distinct()).select("a", "b")
+    found = stored(verified(docs, rest, words, percent), "links")
+    if not found.isEmpty():
+        edges.append(found)
+        comp = stored(components(union(edges)), "components")
+    named = sets.select(*own, "node", "copies").join(comp, "node", "left").select(*own, "node", "copies", F.coalesce("component", "node").alias("c"))
+    if links:
+        several = named.groupBy("c").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        counted = stored(linked(docs, named.join(several, "c").select("node", "copies", *own, "c", "m"), words, percent, block), "n_links")
+        named = named.join(counted, own, "left").withColumn("n_links", F.coalesce("linked", F.lit(0).cast("long")) + F.col("copies") - 1)
+    out = described.select("doc", *own).join(named.drop("node", "copies"), own, "left")
+    out = out.withColumn("c", F.when(F.col("doc").isNotNull(), F.coalesce("c", "doc")))
+    more = [F.when(F.col("doc").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links")] if links else []
+    return out.select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("c").alias("component_id"), *more)
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _chosen(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """The rows of docs named by (doc, ...), with those columns."""
+    few = names.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(names) if few else names, "doc")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link. Only documents named in a pair have
-    their sets made again and sent."""
-    names = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    few = names.count() <= BROADCAST_IDS
-    chosen = docs.join(F.broadcast(names) if few else names, "doc", "left_semi")
+    """The pairs (a, b) whose whole sets link. The set of a is sent to that of b; of
+    a b with very many partners, copies go to blocks of them."""
+    pairs = stored(pairs.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(1 << 30)).cast("int")), "pairs")
+    many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / VERIFY_BLOCK).cast("int").alias("blocks"))
+    sent = pairs.join(many, "b").select(F.col("a").alias("doc"), F.col("b").alias("to"), (F.col("block") % F.col("blocks")).alias("block"))
+    sent = stored(sent.unionByName(many.select(F.col("b").alias("doc"), F.col("b").alias("to"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))), "sent")
+
+    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        to, ids = key[0].as_py(), table.column("doc").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("s").to_pylist()]
+        found = set()
+        for y in (s for i, s in zip(ids, sets) if i == to):
+            for i, x in zip(ids, sets):
+                if i != to and i not in found and len(x) and len(y):
+                    same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                    if same and 100 * same >= percent * (len(x) + len(y) - same):
+                        found.add(int(i))
+        return pa.table({"a": pa.array([min(i, to) for i in found], pa.int64()), "b": pa.array([max(i, to) for i in found], pa.int64())})
+
+    packed = _packed(_chosen(docs, sent), words, "doc long, to long, block int")
+    return packed.groupBy("to", "block").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _packed(rows: DataFrame, words: int, schema: str) -> DataFrame:
+    """The rows with their set `s` (bytes) in place of their text."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def pack(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([s.tobytes() for s in shingle_sets(b.column("text"), words)], pa.binary())], ["doc", "s"])
+            for lo in range(0, b.num_rows, ROWS):
+                part = b.slice(lo, ROWS)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array([s.tobytes() for s in shingle_sets(part.column("text"), words)], pa.binary())], [*names, "s"])
 
-    def compare(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("x"), b.column("y")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(y, x)
-                same = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(x) and len(y) else 0
-                keep.append(same > 0 and 100 * same >= percent * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return rows.select(*names, "text").mapInArrow(pack, schema + ", s binary")
 
-    sets = stored(chosen.mapInArrow(pack, "doc long, s binary"), "packed")
-    first = sets.select(F.col("doc").alias("a"), F.col("s").alias("x"))
-    second = sets.select(F.col("doc").alias("b"), F.col("s").alias("y"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
+
+def linked(docs: DataFrame, members: DataFrame, words: int, percent: int, block: int) -> DataFrame:
+    """For each set in a component (node, copies, n, k1, k2, c, m) how many documents
+    its links to other sets reach: n, k1, k2, linked. A link lies within a component;
+    its sets are dealt into blocks, and every pair of blocks meets in a task, which
+    counts and sends no pair on."""
+    own = ["n", "k1", "k2"]
+    dealt = members.withColumn("blocks", F.ceil(F.col("m") * F.greatest(F.col("n"), F.lit(512)) / (512 * block)).cast("int"))
+    dealt = dealt.drop("blocks").join(dealt.groupBy("c").agg(F.max("blocks").alias("blocks")), "c")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(*own), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = stored(dealt.select(F.col("node").alias("doc"), "copies", *own, "c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own"), "dealt")
+
+    def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("s").to_pylist()]
+        # a document with several texts has several sets; each row asks for one of them
+        k1, k2 = table.column("k1").to_numpy(), table.column("k2").to_numpy()
+        true = [k for k, s in enumerate(sets) if len(s) and np.uint64(_set_key(s, 1)).astype(np.int64) == k1[k] and np.uint64(_set_key(s, 2)).astype(np.int64) == k2[k]]
+        true = [k for _, k in sorted({(k1[k], k2[k]): k for k in true}.items())]
+        side, copies = table.column("own").to_numpy()[true], table.column("copies").to_numpy()[true]
+        sets = [sets[k] for k in true]
+        total = np.zeros(len(true), np.int64)
+        if len(true) > 1:
+            n = np.array([len(s) for s in sets])
+            begin = np.cumsum(n) - n
+            _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+            held = np.zeros(flat.max() + 1, np.uint8)
+            for k in np.flatnonzero(side == i):
+                mine = flat[begin[k] : begin[k] + n[k]]
+                held[mine] = 1
+                same = np.add.reduceat(held[flat], begin, dtype=np.int64)
+                held[mine] = 0
+                hit = 100 * same >= percent * (n[k] + n - same)
+                hit &= side == j
+                hit[k] = False
+                total[k] += copies[hit].sum()
+                if i != j:
+                    total[hit] += copies[k]
+        take = lambda c: table.column(c).take(pa.array(true, pa.int64()))
+        return pa.table({"n": take("n"), "k1": take("k1"), "k2": take("k2"), "linked": pa.array(total)})
+
+    schema = "doc long, copies long, n int, k1 long, k2 long, c long, i int, j int, own int"
+    packed = _packed(_chosen(docs, dealt), words, schema)
+    return packed.groupBy("c", "i", "j").applyInArrow(count, "n int, k1 long, k2 long, linked long").groupBy(*own).agg(F.sum("linked").alias("linked"))
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of df that stay: of each component the row with the least doc_id.
     Rows without an id, or without words, stay."""
-    gone = stored(similar(df, doc_id, text, **options).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")), "gone")
-    return df.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    own = free(df, "gone")
+    gone = stored(similar(df, doc_id, text, links=False, **options).where("component_id < doc_id").select(F.col("doc_id").alias(own)).distinct(), "gone")
+    return df.join(gone, F.col(doc_id) == F.col(own), "left_anti")
 
 
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
@@ -280,8 +392,9 @@ SQL = {
             SELECT doc_id AS a, doc_id AS b FROM documents
             UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a
         )
-        SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, r.c AS component_id
+        SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, r.c AS component_id, coalesce(l.n, 0)::BIGINT AS n_links
         FROM sets s JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = s.doc_id
+        LEFT JOIN (SELECT a, count(*) AS n FROM pairs GROUP BY a) l ON l.a = s.doc_id
     """
 }
 QUERIES = {"op2_ngram_jaccard_join": op2_ngram_jaccard_join}

@@ -58,7 +58,9 @@ HOT = 1 << 17
 #: Partners of a document that meet it in one task.
 VERIFY_BLOCK = 1024
 #: Sets of 512 shingles in a block when the links of a component are counted.
-LINK_BLOCK = 512
+LINK_BLOCK = 2048
+#: How many lists back a pair of groups is sought, so that it is made once or twice and not in every common list.
+LAST = (1, 2, 3, 4)
 #: Words of 64 bits in a parity bitmap.
 BITMAP = 8
 #: Ids up to this many (8 bytes each) are broadcast to pick documents; beyond, a shuffled join picks them.
@@ -244,13 +246,19 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
     if comp is None:
         comp = stored(components(union(edges)), "components")
         twos = group_pairs(lists.where("not many")).select("g", "h")
-    named = stored(grouped_components(), "grouped")
-    tagged = lists.where("many").select("token", "g", "n", "pos").distinct().join(named, "g")
+    # A pair is made in the first list that both groups are in: not where one of the
+    # last few lists of both is the same.
+    named = grouped_components().join(marks.groupBy("g").agg(F.count(F.lit(1)).alias("members"), *(F.max(x).alias(x) for x in bitmap)), "g")
+    tagged = lists.where("many").select("token", "g", "n", "pos").distinct().join(stored(named, "grouped"), "g")
     apart = tagged.groupBy("token").agg(F.min("c_lo").alias("least"), F.max("c_hi").alias("most")).where("least <> most").select("token")
-    left = tagged.join(apart, "token")
-    right = left.select(F.col("token").alias("t"), F.struct("g", "n", "pos", "c_lo", "c_hi").alias("y"))
+    along = Window.partitionBy("g").orderBy("pos", "token")
+    left = tagged.join(apart, "token").withColumns({f"t{k}": F.lag("token", k).over(along) for k in LAST})
+    right = left.select(F.col("token").alias("t"), F.struct(*(c for c in left.columns if c != "token")).alias("y"))
     differ = "(c_lo <> y.c_lo or c_lo <> c_hi or y.c_lo <> y.c_hi)"
-    rest = left.join(right, F.expr(f"token = t and g < y.g and {differ} and {passes('y.')}")).select("g", F.col("y.g").alias("h")).unionByName(twos).distinct()
+    bits = " + ".join(f"bit_count({x} ^ y.{x})" for x in bitmap)
+    near = f"(members > 1 or y.members > 1 or (100L + {percent}L) * ({bits}) <= (100L - {percent}L) * (n + y.n))"
+    first = " and ".join(f"not coalesce(t{k} in ({', '.join(f'y.t{j}' for j in LAST)}), false)" for k in LAST)
+    rest = left.join(right, F.expr(f"token = t and g < y.g and {differ} and {passes('y.')} and {near} and {first}")).select("g", F.col("y.g").alias("h")).unionByName(twos).distinct()
     member = marks.select("g", "node").join(comp, "node", "left").select("g", "node", F.coalesce("component", "node").alias("c"))
     x, y = member.select("g", F.col("node").alias("a"), "c"), member.select(F.col("g").alias("h"), F.col("node").alias("b"), F.col("c").alias("d"))
     rest = rest.join(x, "g").join(y, "h").where("c <> d").select("a", "b")

@@ -296,39 +296,57 @@ def test_language_id_edges_and_code_switching(spark):
 # --- neighbours ---
 
 
+def neighbour_recall(x, ids, got, k):
+    x, hits, asked = x.astype(np.float64), 0, sorted(set(got.query_id))
+    for q, g in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -9e9
+        want = sorted(range(len(x)), key=lambda i: (-s[i], i))[:k]
+        hits += len(set(want) & set(g.vec_id))
+        g = g.sort_values("rank")
+        assert np.allclose(g.score, s[g.vec_id]) and list(g["rank"]) == list(range(1, len(g) + 1)) and list(zip(-g.score, g.vec_id)) == sorted(zip(-g.score, g.vec_id))
+    assert asked == ids
+    return hits / (k * len(ids))
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(5)
     x = r.normal(size=(400, 16)).astype(np.float32)
     x[50] = x[60]
     data = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [1.0]), (None, [1.0] * 16), (3, x[3].tolist())]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
-    exact = (x.astype(float) @ x.astype(float).T)
-    # exact at the root; one digit at most; a recall that no depth but the root reaches
-    for least, recall, floor in ((8192, 0.92, 1.0), (60, 0.7, 0.7), (60, 1.0, 1.0)):
-        got = ann.nearest(df, is_query=F.col("id") % 20 == 0, k=5, least=least, recall=recall).toPandas()
+    # all queries are probes: a recall of 1 is exact; several shards and blocks
+    for recall, shard, block in ((1.0, 4096, 8192), (1.0, 64, 7), (0.7, 64, 8192)):
+        got = ann.nearest(df, is_query=F.col("id") % 20 == 0, k=5, recall=recall, shard_rows=shard, query_rows=block).toPandas()
         assert set(got.groupby("query_id").size()) == {5} and len(got) == 100
-        hits = 0
-        for q, g in got.groupby("query_id"):
-            s = exact[q].copy()
-            s[q] = -9e9
-            want = sorted(range(400), key=lambda i: (-s[i], i))[:5]
-            hits += len(set(want) & set(g.vec_id))
-            assert np.allclose(g.sort_values("rank").score, [s[i] for i in g.sort_values("rank").vec_id])
-        assert hits / 100 >= floor
+        assert neighbour_recall(x, list(range(0, 400, 20)), got, 5) >= recall
     assert ann.nearest(df.limit(0), is_query=F.lit(True)).count() == 0
+    few = ann.nearest(df.where("vec_id < 3"), is_query=F.lit(True)).toPandas()
+    assert len(few) == 6
 
 
-def test_small_table_with_a_cluster_is_searched_exactly(spark):
+def test_forest_meets_only_a_part():
+    r = np.random.default_rng(6)
+    x = r.normal(size=(3000, 32))
+    x[1500:] = x[:1500] + 0.1 * r.normal(size=(1500, 32))
+    forest = ann.Shard(np.arange(3000), x, np.sqrt((x**2).sum(axis=1).max()), ann.TREES, ann.SEED)
+    asked = forest.asked(x[:50])
+    level = forest.levels(asked, 100)
+    for q, who in enumerate(forest.candidates(asked, 100, 1)):
+        assert len(who) < 1500
+        n = lambda at: sum(int((s >> np.uint64(64 - at) == a[q] >> np.uint64(64 - at)).sum()) for s, a in zip(forest.plain, asked))
+        assert n(int(level[q])) >= 100 > n(int(level[q]) + 1)
+    assert len(set(level.tolist())) > 1
+
+
+def test_neighbours_beside_a_cluster(spark):
     rnd = np.random.default_rng(4)
     x = rnd.normal(size=(5000, 64))
-    x[:2500] = x[0] / np.linalg.norm(x[0]) + 0.3 / 8 * x[:2500]  # near copies; 2,250 share a digit in the first tree
+    x[:2500] = x[0] / np.linalg.norm(x[0]) + 0.3 / 8 * x[:2500]  # near copies
     x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = ann.nearest(df, is_query=F.col("id") % 100 == 0, k=20).toPandas()
-    for q in range(0, 5000, 100):
-        s = x.astype(np.float64) @ x[q].astype(np.float64)
-        s[q] = -9e9
-        assert set(got[got.query_id == q].vec_id) == set(np.argsort(-s)[:20])
+    got = ann.nearest(df, is_query=F.col("id") % 25 == 0, k=20).toPandas()
+    assert neighbour_recall(x, list(range(0, 5000, 25)), got, 20) >= 0.9
 
 
 # --- pipeline ---
@@ -353,3 +371,54 @@ def test_pipeline_stages(spark, tmp_path):
     assert left[2] == left[1] - {101}
     assert left[3] <= left[2] and docs.where("not round_trip").count() == 0
     assert P.run(spark, str(tmp_path)).count() == docs.count()
+
+
+# --- columns of clashing names, empty tables, a huge text ---
+
+CLASH = ("score", "lang_pred", "spans", "_gone", "gone", "_sha", "_d", "_s", "_n", "_kept", "_letter", "letter", "ids", "doc", "row", "twice", "n", "g", "source_size", "_copy", "_copies", "_times", "_all", "_id", "_text")
+
+
+def clashing(spark, rows):
+    df = spark.createDataFrame(rows, DOC)
+    return df.select("*", *(F.lit(f"own {c}").alias(c) for c in CLASH))
+
+
+def untouched(out, but=()):
+    return all(x[c] == f"own {c}" for x in out.collect() for c in CLASH if c in out.columns and c not in but)
+
+
+def test_clashing_columns_pass_through(spark):
+    import corpus_pipeline as P
+
+    en, de = "the of and that with this house " * 12, "der die und nicht schön haus über " * 12
+    df = clashing(spark, [(i, (en if i % 2 else de) + f" t{i % 5}", "en" if i % 2 else "de", f"s{i % 3}") for i in range(12)] + [(50, None, None, None)])
+    found = language_id.predict(df, language_id.train(df))
+    assert found.count() == 13 and untouched(found, ("score", "lang_pred"))
+    for out in (exact_dedup.dedup(df), ngram_join.keep_one(df), substring_dedup.dedup(df)):
+        assert out.count() and untouched(out, ("spans",)) and set(df.columns) <= set(out.columns)
+    assert untouched(sentencepieces.encode(df), ("ids",))
+    assert mixing.mix(df).count() == token_counts.count_tokens(df).count() == ngram_join.similar(df).count() == exact_dedup.groups(df).count() == 13
+    assert lm_score.score(df.withColumn("held_out", F.lit(False))).count() == 13
+    pages = df.select("*", F.col("text").alias("html"))
+    assert untouched(html_extract.extract(pages, text="main"))
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, df, "")
+        assert out.columns == df.columns and out.count() and untouched(out)
+    assert P.STAGES[-1][1](spark, df, "").count() == 13
+
+
+def test_empty_tables(spark):
+    import corpus_pipeline as P
+
+    df = docs(spark, ["x"]).limit(0)
+    assert sentencepieces.decode(sentencepieces.encode(df)).count() == 0 == token_counts.count_tokens(df).count()
+    assert html_extract.extract(df.withColumn("html", F.col("text"))).count() == 0
+    model = language_id.fit(["the house", "das haus"], ["en", "de"])
+    assert language_id.predict(df, model).count() == 0
+    for _, stage in P.STAGES:
+        assert stage(spark, df, "").count() == 0
+
+
+def test_languages_are_learned_from_whole_texts_up_to_a_bound(spark):
+    df = spark.createDataFrame([(1, "the house " * 100, "en"), (2, "das haus " * 10, "de"), (3, "le maison " * 1000, "fr")], "doc_id long, text string, lang string")
+    assert language_id.train(df, label_bytes=2000).labels == ["de", "en"]

@@ -1,28 +1,30 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
-Each of `trees` trees gives a vector a string of digits; a digit is the signed axis
-nearest to a random rotation of the vector (a cross-polytope hash), so one digit has
-2 * dimensions values. Largest inner product becomes smallest angle by one more
-coordinate that brings every row to the same length.
-
-A tree is its rows sorted by string, cut by the first digits (and, where many rows or
-queries share those, by salt) into segments that tasks search on their own. A query
-descends to its longest matching prefix in all trees and ascends in all of them
-together, one digit at a time, until the prefixes hold `least` rows; all those rows
-are scored exactly. How far segments reach is set so that they hold enough rows;
-queries that find too few there are searched again on segments one digit shorter, in
-the end on all rows.
-
-How deep a search may stop is measured, not assumed: the exact neighbours of at most
-`PROBES` queries, from one pass over all rows, show how many of them share d digits in
-some tree, and the strings are as long as keeps that recall at `RECALL` or more. So
-clustered tables are searched deep, and a table whose neighbours share no digit is
-searched from the root, which is exact. Recall against brute force: README.
+Each of `trees` trees gives a vector a string of 64 bits, the sides of as many random
+hyperplanes it lies on. Largest inner product becomes smallest angle by one more
+coordinate that brings every row to the same length. The forest is dealt by id into
+shards of about SHARD rows; in a shard a tree is the sorted array of its strings, and
+every block of queries meets every shard once, so vectors travel once per block and
+strings never do.
+
+In a shard a query descends to the longest prefixes that match in the trees and
+ascends in all of them together, bit by bit, until the matching rows, counted once per
+tree, are more than `share` of the shard's rows (and enough for k). All those rows, and
+no others, are scored exactly. How deep the ascent ends so differs from query to query:
+a query among near copies ends at long prefixes. (The count only grows on the way up,
+so the level is found by halving instead of bit by bit.)
+
+How large the share must be is measured in the run, at every table size alike: of at
+most PROBES queries (those with the least hash of their id) the exact neighbours are
+sought in all rows, and the share is the least at which `recall` of them are met. It
+falls as tables grow, since neighbours come nearer. Where no prefix tells neighbours
+from other rows it nears all rows, as any hashing must. Work is queries * rows * share;
+recall against brute force and shares: README.
 
 Defined results: vectors that are null, zero or hold null or non-finite components
 take no part, nor do null ids and lengths other than the commonest (of equally common
 ones the largest); an id that repeats counts once, with its least vector; equal scores
-go by smaller id; an empty table gives no rows.
+go by smaller id; other columns do not enter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,31 +38,14 @@ from pyspark.sql import functions as F
 
 from .common import read, stored
 
-TREES = 48
-DIGITS = 4
-LEAST = 2048
-SEGMENT_ROWS = 2048
-SEGMENT_QUERIES = 256
+TREES = 64
+BITS = 64
+SHARD = 4096
+QUERIES = 8192
 SEED = 11
-#: Queries whose exact neighbours are sought, and the share of them that must be found.
+#: Queries whose exact neighbours are sought, and the share of those neighbours that must be met.
 PROBES = 128
-RECALL = 0.92
-
-
-def _rotations(dims: int, trees: int, digits: int, seed: int) -> np.ndarray:
-    """Rotation by tree and digit; those of the first digits do not depend on how many there are."""
-    one = lambda t, d: np.linalg.qr(np.random.default_rng([seed, t, d]).normal(size=(dims, dims)))[0]
-    return np.array([[one(t, d) for d in range(digits)] for t in range(trees)]).reshape(trees, digits, dims, dims)
-
-
-def hash_strings(x: np.ndarray, rotations: np.ndarray) -> np.ndarray:
-    """The digit strings of the rows of x in one tree, as numbers to the base 2 * dims."""
-    base, out = 2 * x.shape[1], np.zeros(len(x), np.int64)
-    for r in rotations:
-        turned = x @ r
-        axis = np.abs(turned).argmax(axis=1)
-        out = out * base + 2 * axis + (turned[np.arange(len(x)), axis] > 0)
-    return out
+RECALL = 0.95
 
 
 def _usable(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -70,42 +55,11 @@ def _usable(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return rows.groupBy("id").agg(F.min("v").alias("v"))
 
 
-def nearest(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", is_query=None, k: int = 20, trees: int = TREES, digits: int = DIGITS, least: int = LEAST, seed: int = SEED, recall: float = RECALL) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row that `is_query` (a condition on
-    the column id) the k other rows with the largest inner products found."""
-    spark = df.sparkSession
-    rows = stored(_usable(df, vec_id, embedding), "vectors")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("m")).orderBy(F.desc("n"), F.desc("d")).first()
-    empty = "query_id long, rank int, vec_id long, score double"
-    if sizes is None:
-        return spark.createDataFrame([], empty)
-    dims, total, longest = sizes.d, sizes.n, sizes.m
-    rows = rows.where(F.size("v") == dims).withColumn("q", is_query)
-    base = 2 * (dims + 1)
-    if total * (1 - (1 - 1 / base) ** trees) >= least:
-        digits = _safe_digits(rows, dims, longest, k, trees, digits, seed, recall)
-    depth = max(d for d in range(digits + 1) if d == 0 or total * (1 - (1 - float(base) ** -d) ** trees) >= least)
-    found, rest = None, rows.where("q").select("id")
-    for d in range(depth, -1, -1):
-        part = _search(rows, rest, dims, longest, d, k, trees, digits, least, seed)
-        part = stored(part, "nearest") if d else part
-        if not d:
-            return part if found is None else found.unionByName(part)
-        full = part.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k, total - 1)).select("query_id")
-        lacking = rest.join(full, rest.id == full.query_id, "left_anti")
-        found = part.join(full, "query_id", "left_semi").unionByName(found) if found is not None else part.join(full, "query_id", "left_semi")
-        if lacking.isEmpty():
-            return found
-        rest = stored(lacking, "lacking")
-    return found
-
-
-def _placed(x: np.ndarray, longest: float, as_query: bool) -> np.ndarray:
+def placed(x: np.ndarray, longest: float, as_query: bool) -> np.ndarray:
     """Vectors of length 1 with one more coordinate, so that the largest inner product
     is the smallest angle."""
     unit = np.zeros((len(x), x.shape[1] + 1))
-    unit[:, :-1] = x.astype(np.float64)
+    unit[:, :-1] = x
     length = np.sqrt((unit**2).sum(axis=1)) if as_query else np.full(len(x), longest)
     unit /= length[:, None]
     if not as_query:
@@ -113,119 +67,155 @@ def _placed(x: np.ndarray, longest: float, as_query: bool) -> np.ndarray:
     return unit
 
 
-def _safe_digits(rows: DataFrame, dims: int, longest: float, k: int, trees: int, digits: int, seed: int, recall: float) -> int:
-    """The most digits that a query and at least `recall` of its k exact neighbours
-    share in some tree, over PROBES queries against all rows; 0 where not even one."""
-    probes = rows.where("q").select("id", "v").orderBy(F.xxhash64("id"), "id").limit(PROBES).collect()
-    if not probes:
-        return digits
-    asked = np.array([r.v for r in probes], np.float64)
-    own = np.array([r.id for r in probes])
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-                score = np.where(own[:, None] == b.column("id").to_numpy()[None], -np.inf, asked @ x.astype(np.float64).T)
-                at = np.argsort(-score, axis=1)[:, :k]
-                n = at.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(own)), n)), pa.array(np.take_along_axis(score, at, 1).ravel()), b.column("v").take(pa.array(at.ravel()))], ["probe", "s", "v"])
-
-    found = rows.select("id", "v").mapInArrow(best, f"probe long, s double, v {dict(rows.dtypes)['v']}").where(F.col("s") > float("-inf"))
-    order = Window.partitionBy("probe").orderBy(F.desc("s"))
-    found = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("probe", "v").collect()  # PROBES * k rows at most
-    if not found:
-        return digits
-    of = np.array([r.probe for r in found])
-    near = _placed(np.array([r.v for r in found]), longest, False)
-    asked, base = _placed(asked, longest, True), 2 * (dims + 1)
-    shared = np.zeros(len(of), np.int64)
-    for turn in _rotations(dims + 1, trees, digits, seed):
-        a, b = hash_strings(asked, turn)[of], hash_strings(near, turn)
-        shared = np.maximum(shared, sum((a // base**d == b // base**d).astype(np.int64) for d in range(digits)))
-    return max(d for d in range(digits + 1) if (shared >= d).mean() >= recall)
-
-
-def _search(rows: DataFrame, wanted: DataFrame, dims: int, longest: float, depth: int, k: int, trees: int, digits: int, least: int, seed: int) -> DataFrame:
-    """One pass over segments that share `depth` digits; at depth 0 one tree will do."""
-    trees = trees if depth else 1
-    base = 2 * (dims + 1)
-    single = dict(rows.dtypes)["v"] == "array<float>"
-    kind = np.float32 if single else np.float64
-
-    def hashed(as_query: bool, vectors: bool):
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            turns = _rotations(dims + 1, trees, digits, seed)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-                unit = _placed(x, longest, as_query)
-                raw = pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()) if vectors else None
-                for t in range(trees):
-                    code = pa.array(hash_strings(unit, turns[t]))
-                    made = [pa.array(np.full(len(x), t, np.int32)), code, b.column("id")]
-                    yield pa.RecordBatch.from_arrays(made + [raw] * vectors, ["tree", "code", "id"] + ["v"] * vectors)
-
-        return work
-
-    schema = "tree int, code long, id long"
-    asking = rows.join(wanted, "id", "left_semi") if wanted is not None else rows.where("q")
-    xs = rows.select("id", "v").mapInArrow(hashed(False, True), schema + ", v binary")
-    qs = asking.select("id", "v").mapInArrow(hashed(True, True), schema + ", v binary")
-    prefix = lambda d: F.expr(f"code div {base ** (digits - d)}L")
-    # Synchronous ascent: rows under each query's prefixes, all trees together, by depth.
-    steps = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), prefix(d).alias("p")) for d in range(depth, digits + 1)])).alias("s")
-    slim = rows.select("id", "v").mapInArrow(hashed(False, False), schema).select("tree", steps).select("tree", "s.d", "s.p")
-    held = slim.groupBy("tree", "d", "p").agg(F.count(F.lit(1)).alias("n"))
-    asked = asking.select("id", "v").mapInArrow(hashed(True, False), schema).select("id", "tree", steps).select("id", "tree", "s.d", "s.p")
-    sums = asked.join(held, ["tree", "d", "p"]).groupBy("id", "d").agg(F.sum("n").alias("n"))
-    stop = sums.groupBy("id").agg(F.coalesce(F.max(F.when(F.col("n") >= least, F.col("d"))), F.lit(depth)).alias("stop"))
-    # At depth 0 there is one tree, and only all of it is exact.
-    qs = qs.join(stop, "id", "left").withColumn("stop", F.coalesce("stop", F.lit(depth))) if depth else qs.withColumn("stop", F.lit(0))
-    # Segments: rows and queries of a prefix, salted where there are many of either.
-    both = xs.select("tree", prefix(depth).alias("p"), "code", "id", "v", F.lit(-1).alias("stop")).unionByName(qs.select("tree", prefix(depth).alias("p"), "code", "id", "v", "stop"))
-    by = F.col("stop") < 0
-    loads = held.where(F.col("d") == depth).select("tree", "p", F.ceil(F.col("n") / SEGMENT_ROWS).alias("rs"))
-    asks = asked.where(F.col("d") == depth).groupBy("tree", "p").agg(F.ceil(F.count(F.lit(1)) / SEGMENT_QUERIES).alias("qs"))
-    cut = loads.join(asks, ["tree", "p"])  # prefixes that nobody asks for drop out
-    salt = F.pmod(F.xxhash64("id"), F.when(by, F.col("rs")).otherwise(F.col("qs")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(by, F.col("qs")).otherwise(F.col("rs")) - 1))
-    dealt = both.join(cut, ["tree", "p"]).withColumn("own", salt).withColumn("other", other)
-    dealt = dealt.withColumn("r", F.when(by, F.col("own")).otherwise(F.col("other"))).withColumn("a", F.when(by, F.col("other")).otherwise(F.col("own"))).drop("rs", "qs", "own", "other")
-
-    def scan(table: pa.Table) -> pa.Table:
-        stop = table.column("stop").to_numpy()
-        code, ids = table.column("code").to_numpy(), table.column("id").to_numpy()
-        v = np.frombuffer(b"".join(table.column("v").to_pylist()), kind).reshape(-1, dims).astype(np.float64)
-        mine = np.flatnonzero(stop < 0)
-        mine = mine[np.argsort(code[mine], kind="stable")]  # the sorted array of the segment
-        strings, owner, columns = code[mine], ids[mine], np.ascontiguousarray(v[mine].T)
-        out = ([], [], [])
-        for i in np.flatnonzero(stop >= 0):
-            step = base ** (digits - int(stop[i]))
-            lo = np.searchsorted(strings, code[i] // step * step)
-            hi = np.searchsorted(strings, (code[i] // step + 1) * step)
-            score = np.zeros(hi - lo)
-            for j in range(dims):  # in order, so that equal vectors score equal
-                score += columns[j, lo:hi] * v[i, j]
-            own = owner[lo:hi]
-            score[own == ids[i]] = -np.inf
-            if len(score) > k:
-                worth = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
-            else:
-                worth = np.arange(len(score))
-            worth = worth[np.lexsort((own[worth], -score[worth]))][:k]
-            worth = worth[score[worth] > -np.inf]
-            out[0].extend([ids[i]] * len(worth))
-            out[1].extend(own[worth])
-            out[2].extend(score[worth])
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-
-    hits = dealt.groupBy("tree", "p", "r", "a").applyInArrow(scan, "query_id long, vec_id long, score double")
-    best = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+def hash_strings(unit: np.ndarray, tree: int, seed: int) -> np.ndarray:
+    """The strings of a tree, as 64-bit numbers, first bit first."""
+    planes = np.random.default_rng([seed, tree]).normal(size=(unit.shape[1], BITS))
+    return np.packbits(unit @ planes > 0, axis=1).view(">u8").ravel().astype(np.uint64)
+
+
+class Shard:
+    """Some rows as a forest: for each tree its strings in order, and whose they are."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float, trees: int, seed: int):
+        self.ids, self.vectors, self.seed = ids, vectors, seed
+        unit = placed(vectors, longest, False)
+        self.strings, self.owners, self.plain = [], [], []
+        for t in range(trees):
+            s = hash_strings(unit, t, seed)
+            order = np.argsort(s, kind="stable")
+            self.plain.append(s)
+            self.strings.append(s[order])
+            self.owners.append(order)
+
+    def asked(self, vectors: np.ndarray) -> list[np.ndarray]:
+        unit = placed(vectors, 1.0, True)
+        return [hash_strings(unit, t, self.seed) for t in range(len(self.strings))]
+
+    @staticmethod
+    def _range(strings: np.ndarray, asked: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the strings begin and end that share the first `level` bits with each asked."""
+        shift = (BITS - level).astype(np.uint64)
+        rest = np.where(level > 0, (np.uint64(1) << np.minimum(shift, np.uint64(63))) - np.uint64(1), ~np.uint64(0))
+        return np.searchsorted(strings, asked & ~rest), np.searchsorted(strings, asked | rest, "right")
+
+    def met(self, asked: list[np.ndarray], level: np.ndarray) -> np.ndarray:
+        """The rows met at a level by each query, counted once per tree."""
+        total = np.zeros(len(level), np.int64)
+        for strings, a in zip(self.strings, asked):
+            lo, hi = self._range(strings, a, level)
+            total += hi - lo
+        return total
+
+    def levels(self, asked: list[np.ndarray], enough: int) -> np.ndarray:
+        """The longest prefixes at which each query has met `enough` rows; 0 at the root."""
+        low, high = np.zeros(len(asked[0]), np.int64), np.full(len(asked[0]), BITS)
+        while (low < high).any():
+            mid = (low + high + 1) // 2
+            full = self.met(asked, mid) >= enough
+            low, high = np.where(full, mid, low), np.where(full, high, mid - 1)
+        return low
+
+    def candidates(self, asked: list[np.ndarray], enough: int, k: int) -> Iterator[np.ndarray]:
+        """For each query the rows it meets."""
+        level = self.levels(asked, enough)
+        ranges = [self._range(s, a, level) for s, a in zip(self.strings, asked)]
+        ranges = [(lo.tolist(), hi.tolist()) for lo, hi in ranges]
+        for q in range(len(level)):
+            met = np.zeros(len(self.ids), bool)
+            for owner, (lo, hi) in zip(self.owners, ranges):
+                met[owner[lo[q] : hi[q]]] = True
+            at = int(level[q])
+            while at and met.sum() <= k:  # too few different ones: further up
+                at -= 1
+                for owner, strings, a in zip(self.owners, self.strings, asked):
+                    lo, hi = self._range(strings, a[q : q + 1], np.array([at]))
+                    met[owner[lo[0] : hi[0]]] = True
+            yield np.flatnonzero(met)
+
+    def best(self, who: np.ndarray, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k of the rows `who` nearest to the query, without its own: (rows, scores).
+        Scores are summed in order, so that equal vectors score equal."""
+        who = who[self.ids[who] != own]
+        rough = self.vectors[who] @ query
+        if len(who) > k:
+            margin = 1e-9 * (1 + np.abs(rough).max())
+            who = who[rough >= np.partition(rough, len(who) - k)[len(who) - k] - margin]
+        score = np.add.accumulate(self.vectors[who] * query, axis=1)[:, -1]
+        first = np.lexsort((self.ids[who], -score))[:k]
+        return who[first], score[first]
+
+
+def nearest(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", is_query=None, k: int = 20, trees: int = TREES, seed: int = SEED, recall: float = RECALL, shard_rows: int = SHARD, query_rows: int = QUERIES) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row that `is_query` (a condition on
+    the column id) the k other rows with the largest inner products found."""
+    spark = df.sparkSession
+    rows = stored(_usable(df, vec_id, embedding), "vectors")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("m")).orderBy(F.desc("n"), F.desc("d")).first()
+    if sizes is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dims, longest = sizes.d, sizes.m
+    rows = rows.where(F.size("v") == dims)
+    shards = -(-sizes.n // shard_rows)
+    queries = rows.where(is_query)
+    blocks = max(1, -(-queries.count() // query_rows))
+    shard, block = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def opened(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        flat = pa.compute.list_flatten(table.column("v")).to_numpy().astype(np.float64)
+        return table.column("id").to_numpy(), flat.reshape(-1, dims)
+
+    share = _share(rows, queries, shard, order, opened, longest, k, trees, seed, recall)
+
+    def scan(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        asks = table.column("asks").combine_chunks()
+        ids, vectors = opened(table.filter(pa.compute.invert(asks)))
+        own, asked = opened(table.filter(asks))
+        out = ([], [], [])
+        if len(ids) and len(own):
+            forest = Shard(ids, vectors, longest, trees, seed)
+            for q, who in enumerate(forest.candidates(forest.asked(asked), int(share * len(ids) + 1e-6) + 1, k)):
+                who, score = forest.best(who, own[q], asked[q], k)
+                out[0].append(np.full(len(who), own[q]))
+                out[1].append(ids[who])
+                out[2].append(score)
+        join = lambda x, kind: pa.array(np.concatenate(x) if x else [], kind)
+        return pa.table({"query_id": join(out[0], pa.int64()), "vec_id": join(out[1], pa.int64()), "score": join(out[2], pa.float64())})
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    met = rows.select("id", "v", F.lit(False).alias("asks"), shard.alias("shard"), every(blocks).alias("block"))
+    met = met.unionByName(queries.select("id", "v", F.lit(True).alias("asks"), every(shards).alias("shard"), block.alias("block")))
+    hits = met.groupBy("shard", "block").applyInArrow(scan, "query_id long, vec_id long, score double")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _share(rows: DataFrame, queries: DataFrame, shard, order, opened, longest: float, k: int, trees: int, seed: int, recall: float) -> float:
+    """The least share of a shard's rows, counted once per tree, past which `recall` of
+    the exact neighbours of the probes are met."""
+    probes = queries.orderBy(F.xxhash64("id"), "id").limit(PROBES).collect()
+    if not probes:
+        return 0.0
+    own, asked = np.array([r.id for r in probes]), np.array([r.v for r in probes], np.float64)
+
+    def exact(table: pa.Table) -> pa.Table:
+        ids, vectors = opened(table)
+        forest = Shard(ids, vectors, longest, trees, seed)
+        strings, out = forest.asked(asked), ([], [], [], [])
+        for p in range(len(own)):
+            who, score = forest.best(np.arange(len(ids)), own[p], asked[p], k)
+            apart = np.min([plain[who] ^ s[p] for plain, s in zip(forest.plain, strings)], axis=0)  # of the tree that shares most
+            level = BITS - np.ceil(np.log2(apart.astype(np.float64) + 1)).astype(np.int64)
+            before = forest.met([np.full(len(who), s[p]) for s in strings], np.minimum(level + 1, BITS))
+            before[level >= BITS] = 0
+            for column, x in zip(out, (np.full(len(who), own[p]), ids[who], score, before / len(ids))):
+                column.append(x)
+        return pa.table(dict(zip(("query_id", "vec_id", "score", "need"), (pa.array(np.concatenate(x)) for x in out))))
+
+    found = rows.select("id", "v", shard.alias("shard")).groupBy("shard").applyInArrow(exact, "query_id long, vec_id long, score double, need double")
+    need = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("need").collect()  # PROBES * k numbers at most
+    need = np.sort([r.need for r in need])
+    return float(need[max(0, int(np.ceil(recall * len(need))) - 1)]) if len(need) else 0.0
 
 
 def op10_nearest_neighbours(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, slices, stored
+from .common import free, read, slices, stored
 
 #: The largest primes under 2**31 and, for each, a base.
 MODULI = (2147483647, 2147483629)
@@ -141,13 +141,14 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options)
     Rows are found again by id and text digest, so df may be recomputed. Rows that
     are alone in their group never move; of rows with the same id and text one stays.
     """
-    found = groups(df, doc_id, text, **options).where("group_size > 1").groupBy(F.col("doc_id").alias("_d"), F.col("text_sha256").alias("_s")).agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
-    listed = stored(found.where("not _kept or _n > 1"), "copies")
-    marked = df.withColumn("_sha", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    same = F.col(doc_id).eqNullSafe(F.col("_d")) & (F.col("_sha") == F.col("_s"))
+    sha, d, s, kept, n = (free(df, x) for x in ("_sha", "_d", "_s", "_kept", "_n"))
+    found = groups(df, doc_id, text, **options).where("group_size > 1").groupBy(F.col("doc_id").alias(d), F.col("text_sha256").alias(s)).agg(F.max("kept").alias(kept), F.count(F.lit(1)).alias(n))
+    listed = stored(found.where(~F.col(kept) | (F.col(n) > 1)), "copies")
+    marked = df.withColumn(sha, F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    same = F.col(doc_id).eqNullSafe(F.col(d)) & (F.col(sha) == F.col(s))
     alone = marked.join(listed, same, "left_anti")
-    repeated = marked.join(listed.where("_kept"), same, "left_semi").dropDuplicates([doc_id, "_sha"])
-    return alone.unionByName(repeated).drop("_sha")
+    repeated = marked.join(listed.where(kept), same, "left_semi").dropDuplicates([doc_id, sha])
+    return alone.unionByName(repeated).drop(sha)
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:

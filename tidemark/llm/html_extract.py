@@ -10,7 +10,9 @@ rest by maximum flow.
 
 Defined results: null or empty html, or a page without content, gives ""; unclosed
 and truncated markup is read as far as it goes; an unclosed script, style or comment
-runs to the end; rows are independent; extra columns do not enter.
+runs to the end; rows are independent, so ties and repeats are simply repeated; pages
+of any length are read whole; other columns pass through, and one named like the result
+is replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -12,12 +12,16 @@ The passes run over blocks of a fixed number of words, tied together by transfer
 matrices, so a huge document takes no more steps than a short one.
 
 The model is fitted on the driver on a bounded sample: for each label at most
-`per_label` texts, those with the smallest hash of their id. Prediction reads the
-whole text of every row, and nothing but the text.
+`per_label` whole texts of `label_bytes` bytes in all, those with the smallest hash of
+their id (a text that would go beyond is passed over); more than MOST_LABELS labels
+are an error. Prediction reads the whole text of every row, of any length, and nothing
+but the text.
 
 Defined results: null text, or text without a letter, is `und` with score 0; without
 any labelled row every row is `und`; a null lang is no label; a null id is never
-learned from and not held out; equal texts get equal results.
+learned from and not held out; equal texts and repeated rows get equal results; other
+columns pass through, and ones named like the results are replaced; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -30,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _SPACE, mix, read, slices
+from .common import _LOWER, _SPACE, free, mix, read, slices
 
 UNKNOWN = "und"
-#: The bound of the training sample.
+#: The bounds of the training sample: texts and bytes of a label, and labels.
 PER_LABEL = 80
+LABEL_BYTES = 1 << 21
+MOST_LABELS = 256
 SIZES = (2, 3, 4)
 TABLE_BITS = 16
 BLOCK_WORDS = 256
@@ -220,14 +226,21 @@ def fit(texts: list[str], langs: list[str], epochs: int = EPOCHS, seed: int = 7)
     return model
 
 
-def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_label: int = PER_LABEL) -> Model | None:
-    """Fits on at most `per_label` rows of each label; ids are ranked before any text is read."""
-    ids = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(lang).alias("_lang"), F.col(doc_id).alias("_id"), F.xxhash64(doc_id).alias("_h"))
+def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_label: int = PER_LABEL, label_bytes: int = LABEL_BYTES) -> Model | None:
+    """Fits on at most `per_label` rows and `label_bytes` bytes of each label; only the chosen texts leave their task."""
+    docs = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("id is not null and text is not null and lang is not null")
+    ids = docs.where(F.octet_length("text") <= label_bytes).select(F.col("lang").alias("_lang"), F.col("id").alias("_id"), F.xxhash64("id").alias("_h"), F.octet_length("text").cast("long").alias("_size"))
     local = Window.partitionBy("_lang", F.pmod(F.col("_h"), F.lit(256))).orderBy("_h", "_id")
     least = Window.partitionBy("_lang").orderBy("_h", "_id")
-    chosen = ids.withColumn("_r", F.row_number().over(local)).where(f"_r <= {per_label}").withColumn("_r", F.row_number().over(least)).where(f"_r <= {per_label}").select("_id").distinct()
-    rows = df.join(F.broadcast(chosen), F.col(doc_id) == F.col("_id"), "left_semi").where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(doc_id, text, lang).collect()
-    rows = sorted(((r[0], r[2], r[1]) for r in rows))
+    chosen = ids.withColumn("_r", F.row_number().over(local)).where(f"_r <= {per_label}").withColumn("_r", F.row_number().over(least)).where(f"_r <= {per_label}")
+    chosen = chosen.withColumn("_sum", F.sum("_size").over(least.rowsBetween(Window.unboundedPreceding, 0))).where(f"_sum <= {label_bytes}").select("_lang", "_id", "_size").distinct()
+    labels = ids.select("_lang").distinct().limit(MOST_LABELS + 1).count()
+    if labels > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    # rows that repeat an id are told apart by size, and by no more: equal ones count once
+    same = (F.col("id") == F.col("_id")) & (F.col("lang") == F.col("_lang")) & (F.octet_length("text") == F.col("_size"))
+    rows = docs.join(F.broadcast(chosen), same, "left_semi").groupBy("id", "lang", F.octet_length("text")).agg(F.min("text").alias("text")).collect()
+    rows = sorted((r["id"], r["lang"], r["text"]) for r in rows)
     return fit([t for _, _, t in rows], [x for _, x, _ in rows]) if rows else None
 
 
@@ -240,26 +253,28 @@ def label_words(model: Model, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.
             yield p[lo:hi], words.letters[lo:hi]
 
 
-def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """df with lang_pred and score."""
+def predict(df: DataFrame, model: Model | None, text: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """df with the predicted label and its score; columns of these names are replaced."""
+    df = df.drop(label, score)
     if model is None:
-        return df.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return df.withColumns({label: F.lit(UNKNOWN), score: F.lit(0.0)})
     shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = df.withColumns({"_letter": F.lit(True), "lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    letter = free(df, "letter")
+    df = df.withColumn(letter, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    schema = df.withColumns({label: F.lit(""), score: F.lit(0.0)}).schema
 
     def work(batches):
         model = shared.value
         for b in batches:
-            label, score = [], []
-            for (p, letters), any_ in zip(label_words(model, b.column(text)), b.column("_letter").to_pylist()):
+            names, sure = [], []
+            for (p, letters), any_ in zip(label_words(model, b.column(text)), b.column(letter).to_pylist()):
                 mean = p[letters].mean(axis=0) if any_ and letters.any() else None
                 k = int(mean.argmax()) if mean is not None else -1
-                label.append(UNKNOWN if k < 0 else model.labels[k])
-                score.append(0.0 if k < 0 else min(1.0, float(mean[k])))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(label), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+                names.append(UNKNOWN if k < 0 else model.labels[k])
+                sure.append(0.0 if k < 0 else min(1.0, float(mean[k])))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(sure, pa.float64())], [*b.schema.names, label, score])
 
-    letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    return df.withColumn("_letter", letter).mapInArrow(work, schema).drop("_letter")
+    return df.mapInArrow(work, schema).drop(letter)
 
 
 def held_out(doc_id: str, parts: int, part: int):

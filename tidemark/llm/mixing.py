@@ -10,7 +10,8 @@ DataFrame operations; the slots are a function of k, so reruns agree.
 
 Defined results: a null text has size 0 and gets 0; a null source is a source of its
 own, last in order; equal rows are told apart by nothing and get equal shares of
-their common place in any order; a source of size 0 has target 0; no rows, no rows.
+their common place in any order; a source of size 0 has target 0; texts of any length
+are counted whole; other columns do not enter; no rows, no rows.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from .common import n_words, read, stored
 #: The weights of the sources, repeating; at most so many times its size.
 WEIGHTS = (5, 2, 1)
 MOST = 3
-#: Words in a block, raised where the corpus would need more than MAX_SLOTS slots.
+#: Words in a block.
 BLOCK_WORDS = 32
-MAX_SLOTS = 1 << 30
-#: Fixed value: 2**32 / golden ratio, odd. k * GOLDEN mod 2**32 never repeats for k < 2**32.
+#: Fixed value: 2**32 / golden ratio, odd. k * GOLDEN mod 2**32 never repeats for k < 2**32;
+#: from there on the points come again in the same order.
 GOLDEN = 2654435769
 SLOTS_A_BUCKET = 1 << 14
 DOCS_A_BUCKET = 1 << 12
@@ -65,16 +66,16 @@ def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str
     spark = df.sparkSession
     docs = stored(df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")), "sizes")
     goal = stored(targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
-    total, rows = docs.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    block = max(block_words, -(-total // MAX_SLOTS))
-    goal = goal.withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("draws", F.coalesce(F.col("target") * F.col("blocks") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0)))
+    rows = docs.count()
+    goal = goal.withColumn("blocks", F.ceil(F.col("source_size") / block_words)).withColumn("draws", F.coalesce(F.col("target") * F.col("blocks") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0)))
     upto = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
     all_ = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     goal = stored(goal.withColumn("all_draws", F.sum("draws").over(all_)).withColumn("hi", F.sum("draws").over(upto) / F.col("all_draws")).withColumn("hi", F.when(F.col("number") == F.max("number").over(all_), F.lit(1.0)).otherwise(F.col("hi"))).withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("number")), F.lit(0.0))), "weights")
     slots = int(round(goal.agg(F.max("all_draws")).first()[0] or 0))
     # A slot's point falls into a cell; only the sources that touch the cell are compared.
     ranges = goal.where("draws > 0").select("number", "blocks", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
-    point = ((F.col("id") * GOLDEN) % (1 << 32)) / float(1 << 32)
+    # k * GOLDEN mod 2**32 in two halves of k, so that no k overflows
+    point = F.expr(f"((id div 65536 % 65536 * {GOLDEN}L) % 4294967296L * 65536L + id % 65536 * {GOLDEN}L) % 4294967296L") / float(1 << 32)
     k = spark.range(slots).select("id", point.alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
     drawn = k.join(ranges, "cell").where("u >= lo and u < hi").select("id", "number", "blocks")
     ranked = _ranked(drawn, "number", (F.col("id") / SLOTS_A_BUCKET).cast("long"), ["id"], F.lit(1), "rank").where(F.col("rank") < F.col("blocks") * most)

@@ -10,7 +10,9 @@ shared word for word holds such a run but for the part of a chunk at either end.
 Defined results: a null or empty text has no chunks and stays as it is; a row with a
 null doc_id is left alone; rows that repeat a doc_id are one document, whose later
 rows lose what the earlier repeat only where they share no run with a smaller id
-(they are compared by position in their own row); cuts fall between characters.
+(they are compared by position in their own row); cuts fall between characters; texts
+of any length are chunked whole; other columns pass through; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -76,7 +78,7 @@ def chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mask: int
                     ["digest", "doc", "row", "place", "told"],
                 )
 
-    rows = numbered(df, doc_id, text).where("doc is not null").select("doc", "row", F.col(text).alias("text"))
+    rows = numbered(df.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")), "_id", "_text").where("doc is not null").select("doc", "row", F.col("_text").alias("text"))
     return rows.mapInArrow(work, "digest long, doc long, row long, place long, told long")
 
 
@@ -120,7 +122,8 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, mask: int = MASK) -> DataFrame:
     """df with `text` cut, and: n_repeats (passages found), repeated_words,
     removed_words, shared_with (the first documents of its passages), spans (of bytes,
-    in the text as it was)."""
+    in the text as it was). Columns of these names are replaced."""
+    df = df.drop("n_repeats", "repeated_words", "removed_words", "shared_with", "spans")
     span = F.struct("start", "end", "words", "first_doc", "removed")
     # A text has no more passages than it has bytes / 100: a list is no larger than its row.
     found = repeats(df, doc_id, text, min_words, mask).groupBy("doc", "row").agg(F.sort_array(F.collect_list(span)).alias("spans"))

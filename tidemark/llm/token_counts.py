@@ -4,7 +4,8 @@ fallback, no special tokens).
 
 Defined results: a null text is empty and has 0 bytes and 0 tokens; special strings
 are ordinary text; rows are independent, so ties and repeats are simply repeated;
-extra columns do not enter.
+texts of any length are counted whole; extra columns do not enter; an empty table
+gives no rows.
 """
 
 from __future__ import annotations

@@ -4,9 +4,11 @@ Every stage but the last returns the columns of documents. A stage's result is
 written as Parquet in the shared folder and read again by the next.
 
 Defined results: texts that are null or have no letter are rejected by the first
-stage; equal texts leave one row, linked near copies one; the mix repeats or leaves
-out whole documents so that each source's words come near its target; an empty table
-gives an empty result; columns beyond those of documents pass through to the mix.
+stage, others only where the model is hardly surer than chance; where nothing could be
+learned every text with a letter stays; equal texts leave one row, linked near copies
+one; the mix repeats or leaves out whole documents so that each source's words come
+near its target; texts of any length are kept whole; an empty table gives an empty
+result; columns beyond those of documents, of any name, pass through to the mix.
 """
 
 from __future__ import annotations
@@ -15,17 +17,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, language_id, mixing, ngram_join, sentencepieces
-from tidemark.llm.common import n_words, read, stored
+from tidemark.llm.common import free, n_words, read, stored
 
-#: Under this mean probability no language is recognised. Four languages in equal parts have 0.25.
-LEAST_SCORE = 0.35
+#: A language is recognised whose mean probability is at least this part of the way from
+#: chance (1 / labels) to certainty. With four labels: 0.35.
+LEAST_WAY = 0.13
 
 
 def recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
-    columns = docs.columns
-    found = language_id.predict(docs, language_id.train(docs))
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(columns)
+    model = language_id.train(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    label, score = free(docs, "lang_pred"), free(docs, "score")
+    chance = 1 / len(model.labels)
+    found = language_id.predict(docs, model, label=label, score=score)
+    return found.where((F.col(label) != language_id.UNKNOWN) & (F.col(score) >= chance + LEAST_WAY * (1 - chance))).drop(label, score)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +49,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; a part of a document counts as a
     whole one with that probability, decided by the digest of its id."""
     taken = mixing.mix(docs).groupBy("doc_id", "source", "size").agg(F.avg("taken").alias("taken")).where("size > 0")
-    taken = taken.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), (F.col("taken") / F.col("size")).alias("_times"))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (n_words(F.col("text")) == F.col("_n"))
+    d, s, n, times, each, copy = (free(docs, x) for x in ("_d", "_s", "_n", "_times", "_copies", "_copy"))
+    taken = taken.select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(n), (F.col("taken") / F.col("size")).alias(times))
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)) & (n_words(F.col("text")) == F.col(n))
     chance = F.conv(F.substring(F.md5(F.concat(F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    copies = F.floor(F.col("_times") + chance).cast("int")
-    kept = docs.join(taken, same).withColumn("_copies", copies).where("_copies > 0")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    copies = F.floor(F.col(times) + chance).cast("int")
+    kept = docs.join(taken, same).withColumn(each, copies).where(F.col(each) > 0)
+    return kept.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(each)))).drop(d, s, n, times, each, copy)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

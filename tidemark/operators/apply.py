@@ -16,17 +16,18 @@ def apply_changes(base: DataFrame, changes: DataFrame, mode: str = "collect") ->
     changes, and the conflicts (lsn, op, key, conflict).
 
     op: I, U, D or 0 (truncate, no key). U keeps the value where `changed` is false; a
-    changed null is a null. A key's state before a change is that after its last one:
-    U or D on an absent row, and I on a present one, is a conflict. Conflicts are found
-    as if all changes went through; mode 'strict' raises on the first, 'collect' leaves
-    a missing row missing and lets a repeated insert write.
+    changed null is a null. A row is present from its base or an insert on, and absent
+    from a delete on: U or D on an absent row, and I on a present one, is a conflict, each
+    time. Mode 'strict' raises on the first; 'collect' leaves a missing row missing and
+    lets a repeated insert write.
     """
     cut = changes.where("op = '0'").agg(F.max("lsn").alias("_cut"))
     live = changes.where("op <> '0'").crossJoin(F.broadcast(cut)).where("_cut is null or lsn > _cut").drop("_cut")  # the cut is one row
     kept = base.crossJoin(F.broadcast(cut)).where("_cut is null").drop("_cut")
     log = live.select("key", "lsn", "op", "value", "changed").unionByName(kept.select("key", F.lit(0).cast(live.schema["lsn"].dataType).alias("lsn"), F.lit("B").alias("op"), "value", F.lit(True).alias("changed")))
     w = Window.partitionBy("key").orderBy("lsn")
-    before = F.coalesce(F.lag(F.col("op") != "D").over(w), F.lit(False))
+    present = F.when(F.col("op").isin("I", "B"), True).when(F.col("op") == "D", False)
+    before = F.coalesce(F.last(present, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     log = log.withColumn("here", before)
     conflict = F.when((F.col("op") == "U") & ~F.col("here"), "update of a missing row").when((F.col("op") == "D") & ~F.col("here"), "delete of a missing row").when((F.col("op") == "I") & F.col("here"), "insert of a present row")
     log = log.withColumn("conflict", conflict)

@@ -19,20 +19,29 @@ def commit_outcome(votes: DataFrame, nodes: int) -> DataFrame:
 def decide(votes: DataFrame, nodes: int) -> DataFrame:
     """votes (gid, node_id, ballot, acc_ballot, acc_node, status): with a majority at the
     highest proposal, the status accepted at the highest term is proposed: pre-commit
-    only if it is that vote's value, else pre-abort."""
+    only if it is that vote's value, else pre-abort. The next ballot is above all of any
+    transaction."""
     top = votes.groupBy("gid").agg(F.max("ballot").alias("ballot"), F.max(F.struct("acc_ballot", "acc_node", "status")).alias("acc"))
     agreed = votes.join(top.select("gid", F.col("ballot").alias("_b")), "gid").groupBy("gid").agg(F.count_if(F.col("ballot") == F.col("_b")).alias("agreeing"))
     decree = F.when(~quorum(F.col("agreeing"), F.lit(nodes)), "wait").when((F.col("acc.acc_ballot") > 0) & (F.col("acc.status") == "precommitted"), "precommit").otherwise("preabort")
-    return top.join(agreed, "gid").select("gid", "ballot", "agreeing", decree.alias("decree"), (F.col("ballot") + 1).alias("next_ballot"))
-
-
-def tally(ballots: DataFrame, nodes: int) -> DataFrame:
-    """ballots (gen_num, voter, vote_ok, last_online_in): votes, the donors (those in the
-    latest generation among the voters) and whether the election is won."""
-    ok = ballots.where("vote_ok")
-    latest = ok.withColumn("_m", F.max("last_online_in").over(Window.partitionBy("gen_num")))
-    t = latest.groupBy("gen_num").agg(F.count(F.lit(1)).alias("votes"), F.max("_m").alias("last_online_in"), F.bit_or(F.when(F.col("last_online_in") == F.col("_m"), F.pow(F.lit(2), F.col("voter") - 1).cast("long")).otherwise(F.lit(0).cast("long"))).alias("donors"))
-    return t.withColumn("won", quorum(F.col("votes"), F.lit(nodes)))
+    after = votes.agg((F.max("ballot") + 1).alias("next_ballot"))  # one row
+    return top.join(agreed, "gid").select("gid", "ballot", "agreeing", decree.alias("decree")).crossJoin(F.broadcast(after))
+
+
+def tally(replies: DataFrame, candidates: DataFrame, nodes: int) -> DataFrame:
+    """replies (gen_num, voter, vote_ok, last_online_in) to candidates (gen_num, me,
+    members, last_online_in): votes with the candidate's own, the donors (those in the
+    latest generation among the voters, itself included) and whether the election is won:
+    by a quorum, and only if every other member of the generation has answered."""
+    bit = lambda c: F.pow(F.lit(2), F.col(c) - 1).cast("long")
+    own = candidates.select("gen_num", F.col("me").alias("voter"), F.lit(True).alias("vote_ok"), "last_online_in", "members")
+    asked = replies.join(candidates.select("gen_num"), "gen_num", "left_semi")
+    every = own.unionByName(asked.select("gen_num", "voter", "vote_ok", "last_online_in").withColumn("members", F.lit(None).cast("long")))
+    best = every.withColumn("_m", F.max(F.when(F.col("vote_ok"), F.col("last_online_in"))).over(Window.partitionBy("gen_num")))
+    donor = F.when(F.col("vote_ok") & (F.col("last_online_in") == F.col("_m")), bit("voter")).otherwise(F.lit(0).cast("long"))
+    t = best.groupBy("gen_num").agg(F.count_if("vote_ok").alias("votes"), F.max("_m").alias("last_online_in"), F.bit_or(donor).alias("donors"), F.bit_or(bit("voter")).alias("_polled"), F.max("members").alias("_members"))
+    polled = F.col("_members").bitwiseAND(F.bitwise_not("_polled")) == 0
+    return t.select("gen_num", "votes", "last_online_in", "donors", (quorum(F.col("votes"), F.lit(nodes)) & polled).alias("won"))
 
 
 def logged_status(gids: DataFrame, log: DataFrame) -> DataFrame:

@@ -46,3 +46,14 @@ def relation_headers(changes: DataFrame, txn: str = "gid", order: str = "lsn", r
 def segments(records: DataFrame, by: str, order: str, barrier) -> DataFrame:
     """records with `segment`: the number of barriers up to each; segments are applied in order."""
     return records.withColumn("segment", F.sum(F.when(barrier, 1).otherwise(0)).over(Window.partitionBy(by).orderBy(order)))
+
+
+def not_in(left: DataFrame, column: str, right: DataFrame, other: str) -> DataFrame:
+    """The rows of left whose column is NOT IN right's, as SQL has it: a null on the right
+    leaves no rows, a null on the left stays only where the right is empty. An anti-join
+    and a one-row count."""
+    seen = right.agg(F.count(F.lit(1)).alias("_all"), F.count(other).alias("_some"))
+    keep = (F.col("_all") == 0) | ((F.col("_all") == F.col("_some")) & F.col(column).isNotNull())
+    rest = left.crossJoin(F.broadcast(seen)).where(keep).select(left.columns)
+    names = right.select(F.col(other).alias("_other")).where("_other is not null")
+    return rest.join(names, F.col(column) == F.col("_other"), "left_anti")

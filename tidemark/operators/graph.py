@@ -20,6 +20,14 @@ def adjacency(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return mutual(edges).select(F.col("a").alias("node"), bit("b").alias("m")).unionByName(own).groupBy("node").agg(F.bit_or("m").alias("mask"))
 
 
+def neighbours(edges: DataFrame, nodes: DataFrame) -> list[tuple[int, int]]:
+    """Every node with the mask it sees, in order; more than 16 nodes are an error."""
+    found = [(r.node, r.mask) for r in adjacency(edges, nodes).orderBy("node").limit(17).collect()]
+    if len(found) > 16:
+        raise ValueError("at most 16 nodes")
+    return found
+
+
 def is_clique(mask, adjacent: list[tuple[int, int]]):
     """A condition: every node of the mask sees the whole mask."""
     out = F.lit(True)
@@ -31,9 +39,7 @@ def is_clique(mask, adjacent: list[tuple[int, int]]):
 def maximum_clique(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row (mask, size): the largest clique, of equal ones the smallest mask."""
     spark = edges.sparkSession
-    adjacent = [(r.node, r.mask) for r in adjacency(edges, nodes).orderBy("node").limit(17).collect()]  # 16 rows at most
-    if len(adjacent) > 16:
-        raise ValueError("at most 16 nodes")
+    adjacent = neighbours(edges, nodes)
     masks = spark.range(1, 1 << max((n for n, _ in adjacent), default=0)).select(F.col("id").alias("mask"))
     every = sum(1 << n - 1 for n, _ in adjacent)
     found = masks.where(F.col("mask").bitwiseAND(F.lit(~every)) == 0).where(is_clique(F.col("mask"), adjacent))

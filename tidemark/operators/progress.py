@@ -21,13 +21,27 @@ def latest(points: DataFrame, nodes: DataFrame) -> DataFrame:
     return two.join(best, ["origin", "receiver"], "left").select("origin", "receiver", F.coalesce("p.origin_lsn", F.lit(0)).alias("origin_lsn"), F.coalesce("p.receiver_lsn", F.lit(0)).alias("receiver_lsn"))
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_on: str, right_on: str, values: list[str]) -> DataFrame:
-    """left with the values of the last right row at or before it, per key: one union and
-    one running `last` on the keys, linear in both sides, instead of a range join."""
+#: Positions in a bucket of an as-of join.
+AS_OF_WIDTH = 1 << 16
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_on: str, right_on: str, values: list[str], width: int = AS_OF_WIDTH) -> DataFrame:
+    """left with the values of the last right row at or before it, per key; of right rows
+    at one position the one with the largest values. One union and a running `last` on
+    two levels, linear in both sides, instead of a range join: inside buckets of `width`
+    positions, and over the buckets' last rows, so no task holds the log of a key."""
     rows = left.withColumns({"_at": F.col(left_on), "_side": F.lit(1), "_v": F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType)})
     marks = right.select(*keys, F.col(right_on).alias("_at"), F.lit(0).alias("_side"), F.struct(*values).alias("_v"))
-    w = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(marks, allowMissingColumns=True).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    both = rows.unionByName(marks, allowMissingColumns=True).withColumn("_b", F.expr(f"(_at - pmod(_at, {width}L)) div {width}L"))
+    ends = both.groupBy(*keys, "_b").agg(F.max(F.when(F.col("_side") == 0, F.struct("_at", "_v"))).alias("_end"))
+    over = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_e"), F.last("_end", ignorenulls=True).over(over)["_v"].alias("_before"))
+    w = Window.partitionBy(*keys, "_b").orderBy("_at", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    same = F.col("_b").eqNullSafe(F.col("_e"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    both = both.join(ends, same, "left").withColumn("_v", F.coalesce("_v", "_before"))
     return both.select(*left.columns, *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
@@ -44,12 +58,13 @@ def horizons(points: DataFrame, nodes: DataFrame) -> DataFrame:
     return direct.unionByName(other).groupBy("sender").agg(F.min("at").alias("horizon"))
 
 
-def cleanup(points: DataFrame, bounds: DataFrame, me: int) -> DataFrame:
-    """The points that stay: own ones below both bounds of their origin go, and those of
-    origins that are gone; a null bound keeps everything. bounds: origin, kept_ep, kept_ap."""
-    j = points.join(bounds, "origin", "left").withColumn("_known", F.col("kept_ep").isNotNull() | F.col("kept_ap").isNotNull())
-    drop = (F.col("receiver") == me) & F.coalesce((F.col("origin_lsn") < F.col("kept_ep")) & (F.col("origin_lsn") < F.col("kept_ap")), F.lit(False))
-    return j.where(~drop).select(points.columns)
+def cleanup(points: DataFrame, bounds: DataFrame, nodes: DataFrame, me: int) -> DataFrame:
+    """The points that stay: own ones below both bounds of their origin go, and own ones
+    of origins that are no node any more; a null bound keeps everything. bounds: origin,
+    kept_ep, kept_ap; nodes: id, at most sixteen rows."""
+    j = points.join(bounds, "origin", "left").join(F.broadcast(nodes.select(F.col("id").alias("origin"), F.lit(True).alias("_known")).distinct()), "origin", "left")
+    below = F.coalesce((F.col("origin_lsn") < F.col("kept_ep")) & (F.col("origin_lsn") < F.col("kept_ap")), F.lit(False))
+    return j.where(~((F.col("receiver") == me) & (below | F.col("_known").isNull()))).select(points.columns)
 
 
 def emit_every(log: DataFrame, by: str, order: str, step: int) -> DataFrame:

@@ -21,7 +21,7 @@ _CH = """changes AS (SELECT event_id + 1 AS lsn, event_id // 4 AS gid, user_id %
     event_type <> 'view' AS changed, event_type AS rel_name FROM events)"""
 _NODES = "nodes AS (SELECT (n_nationkey + 1)::INT AS id FROM nation WHERE n_nationkey < 3)"
 _PTS = """points AS (SELECT r.id AS receiver, (e.user_id % 3 + 1)::INT AS origin, e.event_id + 1 AS origin_lsn, (e.event_id + 1) * 10 + r.id AS receiver_lsn
-    FROM events e JOIN nodes r ON r.id <> e.user_id % 3 + 1 WHERE e.event_id % 100 = 0)"""
+    FROM events e JOIN nodes r ON r.id <> e.user_id % 3 + 1)"""
 _VOTES = """votes AS (SELECT e.event_id AS gid, n.id AS node_id, (e.event_id + n.id) % 7 <> 0 AS prepared, (e.event_id * n.id) % 5 < 3 AS precommitted,
     1 + (e.event_id + n.id) % 2 AS ballot, (e.event_id * n.id) % 3 AS acc_ballot, n.id AS acc_node,
     CASE WHEN (e.event_id + n.id) % 4 < 2 THEN 'precommitted' ELSE 'preaborted' END AS status FROM events e CROSS JOIN nodes n)"""
@@ -33,15 +33,11 @@ def _nodes(spark, d, n=3):
     return table(spark, d, "nation").where(f"n_nationkey < {n}").select((F.col("n_nationkey") + 1).alias("id"))
 
 
-def _points(spark, d, which="event_id % 100 = 0"):
-    e = table(spark, d, "events").where(which).select((F.col("user_id") % 3 + 1).cast("int").alias("origin"), (F.col("event_id") + 1).alias("origin_lsn"))
+def _points(spark, d):
+    e = table(spark, d, "events").select((F.col("user_id") % 3 + 1).cast("int").alias("origin"), (F.col("event_id") + 1).alias("origin_lsn"))
     return e.join(_nodes(spark, d).select(F.col("id").alias("receiver")), F.expr("receiver <> origin")).withColumn("receiver_lsn", F.col("origin_lsn") * 10 + F.col("receiver"))
 
 
-def _all_points(spark, d):
-    return _points(spark, d, "true")
-
-
 def _votes(spark, d):
     e, n = table(spark, d, "events"), _nodes(spark, d)
     x = F.expr
@@ -228,7 +224,8 @@ def _(spark, d):
 def _(spark, d):
     li, o, s = (table(spark, d, t) for t in ("lineitem", "orders", "supplier"))
     keys = o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"))
-    return li.join(keys, ["l_orderkey", "l_linenumber"], "left_semi").join(s.where("s_acctbal < 0"), F.expr("l_suppkey = s_suppkey"), "left_anti").select("l_orderkey", "l_linenumber")
+    kept = li.join(keys, ["l_orderkey", "l_linenumber"], "left_semi")
+    return filters.not_in(kept, "l_suppkey", s.where("s_acctbal < 0"), "s_suppkey").select("l_orderkey", "l_linenumber")
 
 
 @query("prj4_regex", "SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '^Customer#0*[0-9]*7$') AND c_mktsegment NOT LIKE 'AUTO%'")
@@ -243,8 +240,8 @@ _LATEST = """SELECT o.id AS origin, r.id AS receiver, coalesce(max(p.origin_lsn)
 
 
 @query("apl14_latest_syncpoints", f"WITH {_NODES}, {_PTS} {_LATEST}")
-def _(spark, d, points=_points):
-    return progress.latest(points(spark, d), _nodes(spark, d))
+def _(spark, d):
+    return progress.latest(_points(spark, d), _nodes(spark, d))
 
 
 QUERIES["jn1_jn2_left_theta_pairs"], ORACLES["jn1_jn2_left_theta_pairs"] = QUERIES["apl14_latest_syncpoints"], ORACLES["apl14_latest_syncpoints"]
@@ -266,14 +263,14 @@ def _(spark, d):
     return table(spark, d, "nation").join(F.broadcast(one), F.expr("n_nationkey > m")).select("n_nationkey")
 
 
-_ASOF = """SELECT w.lsn, w.origin, max_by(p.receiver_lsn, p.origin_lsn) AS receiver_lsn FROM (SELECT lsn, origin FROM changes WHERE lsn % 37 = 0) w
-    LEFT JOIN (SELECT * FROM points WHERE receiver = 1) p ON p.origin = w.origin AND p.origin_lsn <= w.lsn GROUP BY w.lsn, w.origin"""
+_ASOF = """SELECT w.lsn, w.origin, p.receiver_lsn FROM changes w
+    ASOF LEFT JOIN (SELECT * FROM points WHERE receiver = 1) p ON p.origin = w.origin AND w.lsn >= p.origin_lsn"""
 
 
 @query("jn6_apl15_as_of", f"WITH {_CH}, {_NODES}, {_PTS} {_ASOF}")
-def _(spark, d, points=_points):
-    left = event_changes(spark, d).where("lsn % 37 = 0").select("lsn", F.col("origin").cast("int").alias("origin"))
-    return progress.as_of(left, points(spark, d).where("receiver = 1"), ["origin"], "lsn", "origin_lsn", ["receiver_lsn"]).withColumn("origin", F.col("origin").cast("long"))
+def _(spark, d):
+    left = event_changes(spark, d).select("lsn", F.col("origin").cast("int").alias("origin"))
+    return progress.as_of(left, _points(spark, d).where("receiver = 1"), ["origin"], "lsn", "origin_lsn", ["receiver_lsn"]).withColumn("origin", F.col("origin").cast("long"))
 
 
 @query("jn7_semi_delete", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
@@ -283,7 +280,7 @@ def _(spark, d):
 
 @query("jn8_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def _(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.expr("c_custkey = o_custkey"), "left_anti").select("c_custkey")
+    return filters.not_in(table(spark, d, "customer"), "c_custkey", table(spark, d, "orders"), "o_custkey").select("c_custkey")
 
 
 @query("jn9_keyless_lookup", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -315,13 +312,13 @@ def _(spark, d):
 @query("agg3_recovery_horizon", f"""WITH {_NODES}, {_PTS}, latest AS ({_LATEST}), asked AS (SELECT l.*, n.id AS sender FROM latest l JOIN nodes n ON n.id <> l.receiver WHERE l.origin_lsn > 0)
     SELECT sender, min(CASE WHEN origin = sender THEN origin_lsn ELSE coalesce((SELECT max(p.receiver_lsn) FROM points p WHERE p.origin = asked.origin AND p.receiver = asked.sender AND p.origin_lsn <= asked.origin_lsn), 0) END) AS horizon
     FROM asked GROUP BY sender""")
-def _(spark, d, points=_points):
-    return progress.horizons(points(spark, d), _nodes(spark, d))
+def _(spark, d):
+    return progress.horizons(_points(spark, d), _nodes(spark, d))
 
 
 @query("agg4_oldest_syncpoint", f"WITH {_NODES}, {_PTS} SELECT origin, min(origin_lsn) AS origin_lsn FROM points GROUP BY origin")
-def _(spark, d, points=_points):
-    return points(spark, d).groupBy("origin").agg(F.min("origin_lsn").alias("origin_lsn"))
+def _(spark, d):
+    return _points(spark, d).groupBy("origin").agg(F.min("origin_lsn").alias("origin_lsn"))
 
 
 @query("agg5_win1_latest_per_key", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
@@ -340,11 +337,15 @@ def _(spark, d):
     return table(spark, d, "orders").agg(F.count(F.lit(1)).alias("n"), F.count("o_custkey").alias("c"), F.sum("o_custkey").alias("s"), F.count_if(F.col("o_orderstatus") == "F").alias("f"))
 
 
-@query("agg8_vote_tally", f"""WITH {_NODES}, {_VOTES}, ok AS (SELECT gid, node_id, gid * node_id % 4 AS online, max(gid * node_id % 4) OVER (PARTITION BY gid) AS m FROM votes WHERE prepared)
-    SELECT gid AS gen_num, count(*) AS votes, max(m) AS last_online_in, bit_or(CASE WHEN online = m THEN (1 << (node_id - 1))::BIGINT ELSE 0 END) AS donors, count(*) >= 2 AS won FROM ok GROUP BY gid""")
+@query("agg8_vote_tally", f"""WITH {_NODES}, {_VOTES}, polled AS (SELECT gid, node_id, prepared OR node_id = 1 AS ok, gid * node_id % 4 AS online FROM votes WHERE node_id = 1 OR (gid + 2 * node_id) % 5 <> 0),
+    best AS (SELECT *, max(online) FILTER (ok) OVER (PARTITION BY gid) AS m FROM polled)
+    SELECT gid AS gen_num, count(*) FILTER (ok) AS votes, max(m) AS last_online_in, bit_or(CASE WHEN ok AND online = m THEN (1 << (node_id - 1))::BIGINT ELSE 0 END) AS donors,
+    count(*) FILTER (ok) >= 2 AND count(*) = 3 AS won FROM best GROUP BY gid""")
 def _(spark, d):
-    b = _votes(spark, d).select(F.col("gid").alias("gen_num"), F.col("node_id").alias("voter"), F.col("prepared").alias("vote_ok"), F.expr("gid * node_id % 4").alias("last_online_in"))
-    return consensus.tally(b, 3)
+    v = _votes(spark, d).select(F.col("gid").alias("gen_num"), F.col("node_id").alias("voter"), F.col("prepared").alias("vote_ok"), F.expr("gid * node_id % 4").alias("last_online_in"))
+    replies = v.where("voter <> 1 and (gen_num + 2 * voter) % 5 <> 0")
+    own = v.where("voter = 1").select("gen_num", F.col("voter").alias("me"), F.lit(7).cast("long").alias("members"), "last_online_in")
+    return consensus.tally(replies, own, 3)
 
 
 @query("agg9_quorum", "SELECT v.r AS votes, n.r AS nodes, v.r >= n.r // 2 + 1 AS ok FROM range(0, 17) v(r), range(1, 17) n(r)")
@@ -354,7 +355,7 @@ def _(spark, d):
 
 @query("agg10_agg11_decision", f"""WITH {_NODES}, {_VOTES}, t AS (SELECT gid, max(ballot) AS ballot, max({{'a': acc_ballot, 'n': acc_node, 's': status}}) AS acc FROM votes GROUP BY gid),
     g AS (SELECT v.gid, count(*) FILTER (v.ballot = t.ballot) AS agreeing FROM votes v JOIN t USING (gid) GROUP BY v.gid)
-    SELECT gid, ballot, agreeing, CASE WHEN agreeing < 2 THEN 'wait' WHEN acc.a > 0 AND acc.s = 'precommitted' THEN 'precommit' ELSE 'preabort' END AS decree, ballot + 1 AS next_ballot FROM t JOIN g USING (gid)""")
+    SELECT gid, ballot, agreeing, CASE WHEN agreeing < 2 THEN 'wait' WHEN acc.a > 0 AND acc.s = 'precommitted' THEN 'precommit' ELSE 'preabort' END AS decree, (SELECT max(ballot) + 1 FROM votes) AS next_ballot FROM t JOIN g USING (gid)""")
 def _(spark, d):
     return consensus.decide(_votes(spark, d), 3)
 
@@ -425,16 +426,10 @@ def _(spark, d):
     return filters.segments(event_changes(spark, d), "origin", "lsn", F.col("lsn") % 25 == 0).select("lsn", "segment")
 
 
-@query("win7_syncpoint_emission", f"""WITH RECURSIVE {_CH}, s AS (SELECT origin, lsn, row_number() OVER (PARTITION BY origin ORDER BY lsn) AS i FROM changes WHERE lsn <= 3000),
+@query("win7_syncpoint_emission", f"""WITH RECURSIVE {_CH}, s AS (SELECT origin, lsn, row_number() OVER (PARTITION BY origin ORDER BY lsn) AS i FROM changes),
     f AS (SELECT origin, lsn, i, lsn >= 40 AS emit, CASE WHEN lsn >= 40 THEN lsn ELSE 0 END AS mark FROM s WHERE i = 1
     UNION ALL SELECT s.origin, s.lsn, s.i, s.lsn - f.mark >= 40, CASE WHEN s.lsn - f.mark >= 40 THEN s.lsn ELSE f.mark END FROM f JOIN s ON s.origin = f.origin AND s.i = f.i + 1)
     SELECT origin, lsn, emit FROM f""")
-def _(spark, d):
-    out = progress.emit_every(event_changes(spark, d).where("lsn <= 3000"), "origin", "lsn", 40)
-    return out.select("origin", F.col("at").alias("lsn"), "emit")
-
-
-@query("win7_syncpoint_emission_all", ORACLES["win7_syncpoint_emission"].replace(" WHERE lsn <= 3000", ""))
 def _(spark, d):
     out = progress.emit_every(event_changes(spark, d), "origin", "lsn", 40)
     return out.select("origin", F.col("at").alias("lsn"), "emit")
@@ -457,8 +452,8 @@ def _(spark, d):
 
 
 @query("srt3_multi_key", f"WITH {_NODES}, {_PTS} SELECT * FROM points ORDER BY origin, receiver, origin_lsn")
-def _(spark, d, points=_points):
-    return points(spark, d).orderBy("origin", "receiver", "origin_lsn")
+def _(spark, d):
+    return _points(spark, d).orderBy("origin", "receiver", "origin_lsn")
 
 
 @query("srt5_numeric_text", "SELECT p_partkey::VARCHAR AS xid FROM part ORDER BY xid::BIGINT")
@@ -559,7 +554,7 @@ def _(spark, d):
 
 _BASE = "base AS (SELECT DISTINCT user_id AS key, 0.0::DOUBLE AS value FROM events WHERE user_id % 2 = 0)"
 _APPLY = f"""WITH {_CH}, {_BASE}, log AS (SELECT key, lsn, op, value, changed FROM changes UNION ALL SELECT key, 0, 'B', value, true FROM base),
-    st AS (SELECT *, coalesce(lag(op <> 'D') OVER w, false) AS here, sum(CASE WHEN op IN ('I', 'D', 'B') THEN 1 ELSE 0 END) OVER w AS run FROM log WINDOW w AS (PARTITION BY key ORDER BY lsn))"""
+    st AS (SELECT *, coalesce(last_value(CASE WHEN op IN ('I', 'B') THEN true WHEN op = 'D' THEN false END IGNORE NULLS) OVER (PARTITION BY key ORDER BY lsn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS here, sum(CASE WHEN op IN ('I', 'D', 'B') THEN 1 ELSE 0 END) OVER w AS run FROM log WINDOW w AS (PARTITION BY key ORDER BY lsn))"""
 
 
 def _base(spark, d):
@@ -598,8 +593,8 @@ def _(spark, d):
 
 
 @query("apl8_apl9_insert_absent", f"WITH {_NODES}, {_PTS} SELECT DISTINCT receiver, origin, origin_lsn FROM points")
-def _(spark, d, points=_points):
-    p = points(spark, d).select("receiver", "origin", "origin_lsn")
+def _(spark, d):
+    p = _points(spark, d).select("receiver", "origin", "origin_lsn")
     return A.insert_absent(p.where("origin_lsn % 200 = 1"), p, ["receiver", "origin", "origin_lsn"])
 
 
@@ -609,16 +604,10 @@ def _(spark, d):
     return A.upsert(t(0), t(1), ["uid"], {"total": lambda old, new: old + new})
 
 
-@query("apl11_referee_grant", """WITH RECURSIVE r AS (SELECT user_id AS key, event_id AS seq, (event_id % 2 + 1)::INT AS node_id, event_id % 11 AS gen_num, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE event_id < 400),
+@query("apl11_referee_grant", """WITH RECURSIVE r AS (SELECT user_id AS key, event_id AS seq, (event_id % 2 + 1)::INT AS node_id, event_id % 11 AS gen_num, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
     f AS (SELECT key, seq, i, true AS granted, node_id AS holder, gen_num AS holder_gen FROM r WHERE i = 1
     UNION ALL SELECT r.key, r.seq, r.i, r.node_id = f.holder AND r.gen_num > f.holder_gen, f.holder, CASE WHEN r.node_id = f.holder AND r.gen_num > f.holder_gen THEN r.gen_num ELSE f.holder_gen END FROM f JOIN r ON r.key = f.key AND r.i = f.i + 1)
     SELECT key, seq, granted, holder, holder_gen FROM f""")
-def _(spark, d):
-    e = table(spark, d, "events").where("event_id < 400").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.col("event_id") % 2 + 1).alias("node_id"), (F.col("event_id") % 11).alias("gen_num"))
-    return A.grant(e)
-
-
-@query("apl11_referee_grant_all", ORACLES["apl11_referee_grant"].replace(" WHERE event_id < 400", ""))
 def _(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.col("event_id") % 2 + 1).alias("node_id"), (F.col("event_id") % 11).alias("gen_num"))
     return A.grant(e)
@@ -630,10 +619,10 @@ def _(spark, d):
 
 
 @query("apl13_syncpoint_cleanup", f"""WITH {_NODES}, {_PTS}, b AS (SELECT 2 AS origin, 500 AS ep, 400 AS ap UNION ALL SELECT 3, 600, NULL)
-    SELECT p.* FROM points p LEFT JOIN b USING (origin) WHERE NOT (p.receiver = 1 AND coalesce(p.origin_lsn < ep AND p.origin_lsn < ap, false))""")
-def _(spark, d, points=_points):
+    SELECT p.* FROM points p LEFT JOIN b USING (origin) WHERE NOT (p.receiver = 1 AND (p.origin NOT IN (SELECT id FROM nodes WHERE id < 3) OR coalesce(p.origin_lsn < ep AND p.origin_lsn < ap, false)))""")
+def _(spark, d):
     bounds = spark.createDataFrame([(2, 500, 400), (3, 600, None)], "origin int, kept_ep long, kept_ap long")
-    return progress.cleanup(points(spark, d), bounds, 1)
+    return progress.cleanup(_points(spark, d), bounds, _nodes(spark, d).where("id < 3"), 1)
 
 
 @query("apl16_restride", "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 2 THEN p_partkey ELSE (p_partkey // 3 + 1) * 3 + 2 END AS last_value FROM part")
@@ -659,9 +648,9 @@ def _(spark, d):
     return A.insert_absent(t.limit(0), t.where("rel_name like '%i%'"), ["rel_name"])
 
 
-@query("apl22_dml_flag", f"WITH {_CH} SELECT gid, bool_or(op IN ('I', 'D') AND rel_name <> 'signup') AS contains_dml FROM changes GROUP BY gid")
+@query("apl22_dml_flag", f"WITH {_CH} SELECT gid, bool_or(op IN ('I', 'U', 'D') AND rel_name NOT IN ('signup', 'view')) AS contains_dml FROM changes GROUP BY gid")
 def _(spark, d):
-    return event_changes(spark, d).groupBy("gid").agg(F.bool_or(F.col("op").isin("I", "D") & (F.col("rel_name") != "signup")).alias("contains_dml"))
+    return event_changes(spark, d).groupBy("gid").agg(F.bool_or(F.col("op").isin("I", "U", "D") & ~F.col("rel_name").isin("signup", "view")).alias("contains_dml"))
 
 
 @query("apl24_node_list", "SELECT p_partkey AS id, (SELECT list(i ORDER BY i)::INT[] FROM range(1, 17) t(i) WHERE (p_partkey % 65536 >> (i - 1)::INT) & 1 = 1)::VARCHAR AS nodes FROM part WHERE p_partkey % 65536 > 0")
@@ -693,7 +682,7 @@ def _(spark, d):
 
 @query("gr3_clique_test", f"WITH {_ADJ} SELECT m.r AS mask, NOT EXISTS (SELECT 1 FROM adj WHERE m.r & (1 << (node - 1)) <> 0 AND m.r & ~adj.mask <> 0) AS clique FROM range(1, 256) m(r)")
 def _(spark, d):
-    adjacent = [(r.node, r.mask) for r in graph.adjacency(*_edges(spark, d)).limit(16).collect()]
+    adjacent = graph.neighbours(*_edges(spark, d))
     return spark.range(1, 256).select(F.col("id").alias("mask"), graph.is_clique(F.col("id"), adjacent).alias("clique"))
 
 
@@ -749,8 +738,8 @@ def _(spark, d):
 
 
 @query("str9_retention", f"WITH {_NODES}, {_PTS} SELECT origin, min(m) AS keep_from FROM (SELECT origin, receiver, max(origin_lsn) AS m FROM points GROUP BY ALL) GROUP BY origin")
-def _(spark, d, points=_points):
-    return points(spark, d).groupBy("origin", "receiver").agg(F.max("origin_lsn").alias("m")).groupBy("origin").agg(F.min("m").alias("keep_from"))
+def _(spark, d):
+    return _points(spark, d).groupBy("origin", "receiver").agg(F.max("origin_lsn").alias("m")).groupBy("origin").agg(F.min("m").alias("keep_from"))
 
 
 #: Which statements replicate, and how.
@@ -763,18 +752,3 @@ STATEMENTS = {
 @query("apl21_statement_classes", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in STATEMENTS.items()) + ") t(tag, class)")
 def _(spark, d):
     return spark.createDataFrame(list(STATEMENTS.items()), "tag string, class string")
-
-
-# --- sync points of every event ----------------------------------------------
-
-_EVERY = " WHERE e.event_id % 100 = 0"
-for _name in ("apl14_latest_syncpoints", "jn1_jn2_left_theta_pairs", "agg3_recovery_horizon", "agg4_oldest_syncpoint", "srt3_multi_key", "apl8_apl9_insert_absent", "apl13_syncpoint_cleanup", "str9_retention"):
-    QUERIES[f"{_name}_all"] = lambda spark, d, f=QUERIES[_name]: f(spark, d, _all_points)
-    ORACLES[f"{_name}_all"] = ORACLES[_name].replace(_EVERY, "")
-
-
-@query("jn6_apl15_as_of_all", f"""WITH {_CH}, {_NODES}, {_PTS.replace(_EVERY, "")} SELECT w.lsn, w.origin, p.receiver_lsn FROM changes w
-    ASOF LEFT JOIN (SELECT * FROM points WHERE receiver = 1) p ON p.origin = w.origin AND w.lsn >= p.origin_lsn""")
-def _(spark, d):
-    left = event_changes(spark, d).select("lsn", F.col("origin").cast("int").alias("origin"))
-    return progress.as_of(left, _all_points(spark, d).where("receiver = 1"), ["origin"], "lsn", "origin_lsn", ["receiver_lsn"]).withColumn("origin", F.col("origin").cast("long"))

@@ -2,14 +2,21 @@
 
 A sorted sequence is split into low bits, stored as they are, and high bits, stored
 in unary, so n numbers under u take about n * (2 + log2(u / n)) bits. Searches look
-up the bucket of the high bits and search its low bits. The trie is one image of
-bytes, so it can be memory-mapped; everything is vectorised over many queries.
+up the bucket of the high bits, by counts kept for every 64 bits of the unary part,
+and search its low bits. The trie is one image of bytes, mapped from a file;
+everything is vectorised over many queries.
+
+The successors of a context are sorted; each run is raised by the last number of the
+run before it, so that all runs are one monotone sequence. A context's two pointers
+bound its run, the number in front of the run gives what it was raised by, and a
+successor is sought, so raised, inside those bounds only.
 """
 
 from __future__ import annotations
 
 import mmap
 import struct
+import tempfile
 
 import numpy as np
 
@@ -17,14 +24,37 @@ ABSENT = 0xFFFF
 #: log10 probabilities are stored as steps of 1 / STEPS below zero, in 16 bits.
 STEPS = 4096.0
 SUCCESSOR_BITS = 40
+#: Places sought at a time.
+SELECT = 1 << 15
 
 
 class EliasFano:
     def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.width, self.low, self.high = n, width, low, high
-        zeros = np.flatnonzero(np.unpackbits(high) == 0)
-        #: at h, how many numbers have high bits under h
-        self.before = np.concatenate(([0], zeros - np.arange(len(zeros))))
+        self.n, self.width, self.low = n, width, low
+        self.words = np.append(high, np.full(-len(high) % 8, 0xFF, np.uint8)).reshape(-1, 8) if len(high) % 8 else high.reshape(-1, 8)
+        #: how many ones, and zeros, stand before each word of 64 bits
+        ones = np.bitwise_count(self.words).sum(axis=1)
+        self.ones = np.concatenate(([0], np.cumsum(ones))).astype(np.uint32)
+        self.zeros = np.concatenate(([0], np.cumsum(64 - ones))).astype(np.uint32)
+        self.buckets = int(self.zeros[-1])
+
+    def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
+        """The place of the k-th one or zero (from 0) of the unary part."""
+        out, ranks = np.empty(len(k), np.int64), self.ones if one else self.zeros
+        for lo in range(0, len(k), SELECT):
+            part = k[lo : lo + SELECT]
+            word = np.searchsorted(ranks, part.astype(np.uint32), "right") - 1
+            bits = np.unpackbits(self.words[word], axis=1) if one else 1 - np.unpackbits(self.words[word], axis=1)
+            want = (part - ranks[word] + 1).astype(np.uint8)
+            out[lo : lo + SELECT] = word * 64 + (np.cumsum(bits, axis=1, dtype=np.uint8) >= want[:, None]).argmax(axis=1)
+        return out
+
+    def _before(self, h: np.ndarray) -> np.ndarray:
+        """How many numbers have high bits under h, for h of at most `buckets`."""
+        out = np.zeros(len(h), np.int64)
+        some = h > 0
+        out[some] = self._select(h[some] - 1, False) - (h[some] - 1)
+        return out
 
     @staticmethod
     def encoded(values: np.ndarray) -> bytes:
@@ -55,15 +85,18 @@ class EliasFano:
             out |= self.low[i, k].astype(np.uint64) << np.uint64(8 * k)
         return out
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """The index of each x, or -1: the successor of x, if it is x."""
+    def find(self, x: np.ndarray, first: np.ndarray | None = None, stop: np.ndarray | None = None) -> np.ndarray:
+        """The index of each x, from `first` up to `stop` if they are given, or -1: the
+        successor of x, if it is x."""
         if not self.n or not len(x):
             return np.full(len(x), -1, np.int64)
-        high = np.minimum(x >> np.uint64(8 * self.width), np.uint64(len(self.before))).astype(np.int64)
-        known = high < len(self.before)
-        lo = self.before[np.where(known, high, 0)]
-        end = np.where(known & (high + 1 < len(self.before)), self.before[np.minimum(high + 1, len(self.before) - 1)], self.n)
-        end = np.where(known, end, lo)
+        high = np.minimum(x >> np.uint64(8 * self.width), np.uint64(self.buckets)).astype(np.int64)
+        known = high < self.buckets
+        at = np.where(known, high, 0)
+        lo, end = self._before(at), self._before(at + 1)
+        if first is not None:
+            lo, end = np.maximum(lo, first), np.minimum(end, stop)
+        end = np.where(known, np.maximum(end, lo), lo)
         hi, low = end.copy(), x & np.uint64((1 << 8 * self.width) - 1)
         while (open_ := lo < hi).any():
             mid = (lo + hi) // 2
@@ -77,7 +110,7 @@ class EliasFano:
 
     def at(self, i: np.ndarray) -> np.ndarray:
         """The numbers at the indices i."""
-        high = np.searchsorted(self.before, i, "right") - 1
+        high = self._select(i, True) - i
         return (high.astype(np.uint64) << np.uint64(8 * self.width)) | self._low(i)
 
 
@@ -86,8 +119,11 @@ class Trie:
     their context, and a quantised log10 probability for each."""
 
     def __init__(self, image: bytes):
-        self.map = mmap.mmap(-1, max(1, len(image)))
-        self.map.write(image)
+        """Maps the image from a file that goes with the task."""
+        with tempfile.TemporaryFile() as f:
+            f.write(image or b"\0")
+            f.flush()
+            self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         self.contexts, at = EliasFano.opened(self.map, 0)
         self.pointers, at = EliasFano.opened(self.map, at)
         self.successors, at = EliasFano.opened(self.map, at)
@@ -96,14 +132,32 @@ class Trie:
     @staticmethod
     def image(contexts: np.ndarray, sizes: np.ndarray, successors: np.ndarray, log10: np.ndarray) -> bytes:
         """contexts sorted; sizes of their runs of successors, each run sorted."""
-        number = np.repeat(np.arange(len(contexts), dtype=np.uint64), sizes)
+        raised = np.zeros(len(contexts), np.uint64)
+        some = np.flatnonzero(sizes)
+        raised[some] = successors[np.cumsum(sizes)[some] - 1] + np.uint64(1)
+        raised = np.cumsum(raised) - raised
+        pointers = np.concatenate(([0], np.cumsum(sizes))).astype(np.uint64)
         codes = np.clip(np.rint(-log10 * STEPS), 0, ABSENT - 1).astype("<u2")
-        relative = (number << np.uint64(SUCCESSOR_BITS)) | successors
-        return b"".join((EliasFano.encoded(contexts), EliasFano.encoded(np.cumsum(sizes).astype(np.uint64)), EliasFano.encoded(relative), codes.tobytes()))
+        relative = np.repeat(raised, sizes) + successors
+        return b"".join((EliasFano.encoded(contexts), EliasFano.encoded(pointers), EliasFano.encoded(relative), codes.tobytes()))
 
-    def lookup(self, contexts: np.ndarray, successors: np.ndarray) -> np.ndarray:
-        """The probability code of each (context, successor), ABSENT where there is none."""
+    def run(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the successors of each context begin and stop, and by how much they
+        are raised; an unknown context has none."""
         c = self.contexts.find(contexts)
-        s = self.successors.find((np.maximum(c, 0).astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | successors)
-        found = (c >= 0) & (s >= 0)
+        first, stop, raised = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64), np.zeros(len(c), np.uint64)
+        known = np.flatnonzero(c >= 0)
+        first[known], stop[known] = self.pointers.at(c[known]).astype(np.int64), self.pointers.at(c[known] + 1).astype(np.int64)
+        behind = known[first[known] > 0]
+        raised[behind] = self.successors.at(first[behind] - 1) + np.uint64(1)
+        return first, stop, raised
+
+    def lookup(self, contexts: np.ndarray, successors: np.ndarray, number: np.ndarray | None = None) -> np.ndarray:
+        """The probability code of each (context, successor), ABSENT where there is none;
+        number: for each successor which of the contexts is its own, else one each."""
+        first, stop, raised = self.run(contexts)
+        if number is not None:
+            first, stop, raised = first[number], stop[number], raised[number]
+        s = self.successors.find(raised + successors, first, stop)
+        found = s >= 0
         return np.where(found, self.codes[np.maximum(s, 0)] if self.successors.n else ABSENT, ABSENT).astype("<u2")

@@ -16,7 +16,8 @@ a word that only one block has are counted there and never sent.
 
 Defined results: a null text is empty and has one token, the end; a null id is in
 training (its remainder is not 1); rows that repeat are counted each; with nothing to
-learn from, every word is unknown (N = 0); an empty table gives no rows.
+learn from, every word is unknown (N = 0); a text is scored whole, however long (its
+block holds it in one task); other columns do not enter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,7 +38,6 @@ BLOCK_BYTES = 1 << 24
 LEAST_BLOCKS = 16
 #: What stands for the end and the start of a text.
 END, START = np.uint64(0xE5D0E5D0E5D0E5D1), np.uint64(0x57A2757A2757A275)
-_P1_STEPS = 25.0
 
 
 class Block:
@@ -156,7 +156,7 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", held: str =
         b.pair(shards)
         out = [[] for _ in _PAIRS]
         cut = np.searchsorted(b.sent_shard, np.arange(shards + 1))
-        code = np.clip(np.rint(-b.log_p1 * _P1_STEPS), 0, 255).astype(np.uint8)
+        code = np.clip(np.rint(-b.log_p1 * STEPS), 0, ABSENT).astype("<u2")
         for s in range(shards):
             mine = b.sent[cut[s] : cut[s + 1]]
             if not len(mine):
@@ -182,16 +182,16 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", held: str =
         wide[:, : raw.shape[1]] = raw
         successor = wide.view("<u8").ravel()
         counts = np.concatenate([_large(r["counts"]) for r in rows])
-        p1 = np.frombuffer(b"".join(r["p1"] for r in rows), np.uint8).astype(np.float64)
+        p1 = np.frombuffer(b"".join(r["p1"] for r in rows), "<u2").astype(np.float64)
         merged, where = np.unique(number << np.uint64(SUCCESSOR_BITS) | successor, return_inverse=True)
         total = np.bincount(where, counts, len(merged))
         unigram = np.zeros(len(merged))
-        unigram[where] = 10.0 ** (-p1 / _P1_STEPS)
+        unigram[where] = 10.0 ** (-p1 / STEPS)
         kept = np.flatnonzero(total > 0)
         of = (merged[kept] >> np.uint64(SUCCESSOR_BITS)).astype(np.int64)
         p = (1 - weight) * unigram[kept] + weight * total[kept] / seen[of]
         model = Trie(Trie.image(every, np.bincount(of, minlength=len(every)), merged[kept] & np.uint64((1 << SUCCESSOR_BITS) - 1), np.log10(np.minimum(p, 1))))
-        found = model.lookup(every[number.astype(np.int64)], successor)
+        found = model.lookup(every, successor, number.astype(np.int64))
         cut = np.split(found, np.cumsum([x.sum() for x in sizes])[:-1])
         blocks = [r["block"] for r in rows]
         return _rows([blocks, [key[0].as_py()] * len(blocks), [2] * len(blocks), [x.tobytes() for x in cut], [0] * len(blocks), [0] * len(blocks)], _ANSWER)

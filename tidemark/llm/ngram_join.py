@@ -107,13 +107,19 @@ def unpacked(raw) -> np.ndarray:
     return np.frombuffer(raw, f"<u{raw[0]}", offset=1)
 
 
-def parity_bitmap(s: np.ndarray) -> np.ndarray:
-    """For each of 64 * BITMAP hash values whether an odd number of tokens has it. Two
-    sets differ in at least as many tokens as their bitmaps differ in bits."""
-    odd = np.bincount((s >> np.uint64(32)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP) & 1
+def parity_bitmap(s: np.ndarray, words: int = BITMAP) -> np.ndarray:
+    """For each of 64 * words hash values whether an odd number of tokens has it. Two
+    sets differ in at least as many tokens as their bitmaps differ in bits. The halves of
+    a bitmap, combined by exclusive or, are the bitmap of half its words."""
+    odd = np.bincount((s >> np.uint64(32)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_words(n: int) -> int:
+    """Words of the bitmap of a set of n tokens: a power of two, two bits a token or more."""
+    return max(BITMAP, 1 << max(0, (2 * n - 1).bit_length() - 6)) if n else BITMAP
+
+
 def bucket_counts(df: DataFrame, text: str, words: int) -> np.ndarray:
     """Shingles per hash bucket over all texts: BUCKETS numbers, added up in blocks."""
 
@@ -157,7 +163,7 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
         for b in batches:
             for lo in range(0, b.num_rows, ROWS):
                 part = b.slice(lo, ROWS)
-                n, k1, k2, g, bits, first = [], [], [], [], [], []
+                n, k1, k2, g, bits, first, wide = [], [], [], [], [], [], [np.zeros(0, np.int64)]
                 for s in shingle_sets(part.column("text"), words):
                     p = _ordered(s, shared.value, prefix_length(len(s), percent))
                     n.append(len(s))
@@ -166,8 +172,11 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
                     g.append(_set_key(p, len(s) + 3))
                     bits.append(parity_bitmap(s))
                     first.append(p.tobytes())
+                    wide.append(parity_bitmap(s, wide_words(len(s))))
+                ends = np.cumsum([len(x) for x in wide]).astype(np.int32)
+                wide = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(wide)))
                 bits = np.array(bits, np.int64).reshape(-1, BITMAP)
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(n, pa.int32()), *(int64(np.array(x, np.uint64)) for x in (k1, k2, g)), *(pa.array(bits[:, j]) for j in range(BITMAP)), pa.array(first, pa.binary())], ["doc", "n", "k1", "k2", "g", *bitmap, "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(n, pa.int32()), *(int64(np.array(x, np.uint64)) for x in (k1, k2, g)), *(pa.array(bits[:, j]) for j in range(BITMAP)), pa.array(first, pa.binary()), wide], ["doc", "n", "k1", "k2", "g", *bitmap, "prefix", "wide"])
 
     def tokens(batches):
         for b in batches:
@@ -182,10 +191,10 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
                 salt = np.where(much > 0, 1 + mix(g.view(np.uint64)).astype(np.int64) % (much + 1), 0)
                 yield pa.RecordBatch.from_arrays([int64(flat), pa.array(salt.astype(np.int32)), pa.array(g), pa.array(np.repeat(part.column("n").to_numpy(), sizes)), pa.array(pos.astype(np.int32))], ["token", "salt", "g", "n", "pos"])
 
-    described = stored(docs.mapInArrow(describe, "doc long, n int, k1 long, k2 long, g long, " + ", ".join(f"{x} long" for x in bitmap) + ", prefix binary"), "sets")
+    described = stored(docs.mapInArrow(describe, "doc long, n int, k1 long, k2 long, g long, " + ", ".join(f"{x} long" for x in bitmap) + ", prefix binary, wide array<long>"), "sets")
     own = ["n", "k1", "k2"]
     real = described.where("n > 0 and doc is not null")
-    sets = stored(real.groupBy(*own, "g").agg(F.min("doc").alias("node"), F.countDistinct("doc").alias("copies"), *(F.max(x).alias(x) for x in bitmap)), "members")
+    sets = stored(real.groupBy(*own, "g").agg(F.min("doc").alias("node"), F.countDistinct("doc").alias("copies"), *(F.max(x).alias(x) for x in (*bitmap, "wide"))), "members")
     marks = sets.select("node", "g", "n", *bitmap).dropDuplicates(["node", "g"])
 
     # Inverted lists of groups. In a list of two there is one pair; of longer lists all rows are kept.
@@ -207,11 +216,13 @@ def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
     edges = [stored(where_from.join(repeats, "doc").select(F.col("lo").alias("a"), F.col("node").alias("b")).where("a <> b").distinct(), "links")]
 
     def alike(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) of sets that size and bitmaps leave, and by how many bits they differ."""
-        x = marks.select(F.col("node").alias("a"), "n", *bitmap)
-        y = marks.select(F.col("node").alias("b"), F.struct("n", *bitmap).alias("y"))
-        bits = " + ".join(f"bit_count({x} ^ y.{x})" for x in bitmap)
-        both = pairs.join(x, "a").join(y, "b").where(size.format(y="y.")).withColumn("bits", F.expr(bits))
+        """Pairs (a, b) of sets that size and bitmaps leave, and by how many bits they
+        differ. Where one folding does not make bitmaps equally long, nothing is ruled out."""
+        x = sets.select(F.col("node").alias("a"), "n", F.col("wide").alias("p"))
+        y = sets.select(F.col("node").alias("b"), F.struct("n").alias("y"), F.col("wide").alias("q"))
+        folded = lambda p, q: F.expr(f"case when size({p}) > size({q}) then transform(sequence(0, size({p}) div 2 - 1), i -> {p}[i] ^ {p}[i + size({p}) div 2]) else {p} end")
+        both = pairs.join(x, "a").join(y, "b").where(size.format(y="y.")).withColumns({"p": folded("p", "q"), "q": folded("q", "p")})
+        both = both.withColumn("bits", F.expr("case when size(p) = size(q) then aggregate(zip_with(p, q, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) else 0 end"))
         return both.where(f"(100L + {percent}L) * bits <= (100L - {percent}L) * (n + y.n)").select("a", "b", "bits")
 
     comp = None

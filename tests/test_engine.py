@@ -140,6 +140,17 @@ def test_cleanup_drops_points_of_gone_origins(spark):
     assert rows(progress.cleanup(points, bounds, nodes, 1)) == sorted([(1, 2, 90, 1), (2, 4, 90, 1), (1, 3, 5, 1)], key=repr)
 
 
+@pytest.mark.parametrize("width", [1, 7, 1 << 16])
+def test_segments_on_two_levels(spark, width):
+    from tidemark.operators import filters
+
+    r = random.Random(width)
+    log = [(r.choice(["a", "b", None]), at, r.random() < 0.3) for at in range(-40, 60)]
+    got = filters.segments(spark.createDataFrame(log, "o string, lsn long, stop boolean"), "o", "lsn", F.col("stop"), width)
+    want = [(o, at, stop, sum(s for k, p, s in log if k == o and p <= at)) for o, at, stop in log]
+    assert rows(got) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("width", [1, 7, 1 << 16])
 def test_as_of_on_two_levels(spark, width):
     r = random.Random(width)

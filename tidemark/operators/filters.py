@@ -43,9 +43,17 @@ def relation_headers(changes: DataFrame, txn: str = "gid", order: str = "lsn", r
     return changes.withColumn("header", before.isNull() | (before != F.col(relation)))
 
 
-def segments(records: DataFrame, by: str, order: str, barrier) -> DataFrame:
-    """records with `segment`: the number of barriers up to each; segments are applied in order."""
-    return records.withColumn("segment", F.sum(F.when(barrier, 1).otherwise(0)).over(Window.partitionBy(by).orderBy(order)))
+def segments(records: DataFrame, by: str, order: str, barrier, width: int = 1 << 16) -> DataFrame:
+    """records with `segment`: the number of barriers up to each; segments are applied in
+    order. Counted on two levels, inside buckets of `width` positions and over the
+    buckets, so no task holds the log of a `by`."""
+    rows = records.withColumns({"_hit": F.when(barrier, 1).otherwise(0), "_b": F.expr(f"({order} - pmod({order}, {width}L)) div {width}L")})
+    totals = rows.groupBy(F.col(by).alias("_by"), F.col("_b").alias("_e")).agg(F.sum("_hit").alias("_all"))
+    over = Window.partitionBy("_by").orderBy("_e").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_by", "_e", F.coalesce(F.sum("_all").over(over), F.lit(0)).alias("_before"))
+    inside = F.sum("_hit").over(Window.partitionBy(by, "_b").orderBy(order))
+    same = F.col(by).eqNullSafe(F.col("_by")) & F.col("_b").eqNullSafe(F.col("_e"))
+    return rows.withColumn("segment", inside).join(totals, same).withColumn("segment", F.col("segment") + F.col("_before")).select(*records.columns, "segment")
 
 
 def not_in(left: DataFrame, column: str, right: DataFrame, other: str) -> DataFrame:

@@ -38,7 +38,7 @@ from . import pieces
 from .common import mix, ranges, read, slices
 
 MODEL = "piece_bpe_32k.model"
-SLICE = 1 << 21
+SLICE = 1 << 20
 #: Stretches of more characters than this are streamed one by one.
 LONG = 96
 #: Entries of the table of stable pairs (8 bytes each); a new pair overwrites the one in its place.
@@ -369,27 +369,39 @@ def _lists(texts: pa.Array, path: str) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)), mask=texts.is_null())
 
 
-def _mapped(df: DataFrame, column: str, kind: str, work) -> DataFrame:
-    """df with a column made by `work` from an Arrow batch; a column of that name is replaced."""
-    schema = df.withColumn(column, F.lit(None).cast(kind)).schema
-    order = [f for f in schema if f.name != column] + [schema[column]]
+def _mapped(df: DataFrame, made: dict[str, str], work) -> DataFrame:
+    """df with the columns (name: type) that `work` makes of an Arrow batch, in that
+    order; columns of these names are replaced."""
+    schema = df.withColumns({c: F.lit(None).cast(kind) for c, kind in made.items()}).schema
+    order = [f for f in schema if f.name not in made] + [schema[c] for c in made]
 
     def batches(parts):
         for b in parts:
             for lo in range(0, b.num_rows, ROWS):
                 part = b.slice(lo, ROWS)
-                rest = [c for c in part.schema.names if c != column]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), work(part)], [*rest, column])
+                rest = [c for c in part.schema.names if c not in made]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *work(part)], [*rest, *made])
 
     return df.mapInArrow(batches, type(schema)(order))
 
 
-ROWS = 4096
+ROWS = 2048
 
 
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", model: str | None = None) -> DataFrame:
     """df with a column of token ids (array of int)."""
-    return _mapped(df, ids, "array<int>", lambda part: _lists(part.column(text), model or public_tokenizers.path(MODEL)))
+    return _mapped(df, {ids: "array<int>"}, lambda part: [_lists(part.column(text), model or public_tokenizers.path(MODEL))])
+
+
+def encode_and_decode(df: DataFrame, text: str = "text", ids: str = "ids", back: str = "decoded", model: str | None = None) -> DataFrame:
+    """encode and then decode in one pass, so that a task has one Python worker, not two."""
+
+    def work(part: pa.RecordBatch) -> list[pa.Array]:
+        path = model or public_tokenizers.path(MODEL)
+        lists = _lists(part.column(text), path)
+        return [lists, decoded(lists, path)]
+
+    return _mapped(df, {ids: "array<int>", back: "string"}, work)
 
 
 @functools.lru_cache(maxsize=2)
@@ -434,13 +446,13 @@ def decoded(lists: pa.ListArray, path: str) -> pa.Array:
 
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", model: str | None = None) -> DataFrame:
     """df with the text that a column of token ids stands for."""
-    return _mapped(df, text, "string", lambda part: decoded(part.column(ids), model or public_tokenizers.path(MODEL)))
+    return _mapped(df, {text: "string"}, lambda part: [decoded(part.column(ids), model or public_tokenizers.path(MODEL))])
 
 
 def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, the text decoded from the ids, and whether it is the text."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode(encode(docs))
+    both = encode_and_decode(docs)
     return both.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "decoded", F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
 
 

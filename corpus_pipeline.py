@@ -60,7 +60,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, checked by decoding them."""
-    both = sentencepieces.decode(sentencepieces.encode(docs.select("doc_id", "source", "text")))
+    both = sentencepieces.encode_and_decode(docs.select("doc_id", "source", "text"))
     return both.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
 
 

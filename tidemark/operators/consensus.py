@@ -55,13 +55,6 @@ def most_advanced(nodes: DataFrame, by: str) -> DataFrame:
     return nodes.groupBy(by).agg(F.max(F.struct("gen", (-F.col("node_id")).alias("neg"))).alias("m")).select(by, F.col("m.gen").alias("gen"), (-F.col("m.neg")).alias("donor"))
 
 
-def node_status(gen_members: str = "gen_members", online: str = "online", clique: str = "clique"):
-    """Status from masks: disabled outside the generation, isolated if the generation is
-    not inside the clique, recovery until online in it, else online."""
-    c = F.col
-    return F.when(c("member") == 0, "disabled").when(c(gen_members).bitwiseAND(F.bitwise_not(c(clique))) != 0, "isolated").when(c(online) == 0, "recovery").otherwise("online")
-
-
 def gathered(replies: DataFrame) -> DataFrame:
     """The first reply of each sender to each request."""
     return replies.groupBy("request", "sender").agg(F.min(F.struct("at", "body")).alias("r")).select("request", "sender", F.col("r.at").alias("at"), F.col("r.body").alias("body"))

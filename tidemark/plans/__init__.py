@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import parity, replication
+from . import host, parity, replication
 
 
 def queries() -> dict:
-    return replication.QUERIES | parity.queries()
+    return replication.QUERIES | parity.queries() | host.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return replication.ORACLES | parity.oracle_sql()
+    return replication.ORACLES | parity.oracle_sql() | host.ORACLES

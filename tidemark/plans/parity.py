@@ -46,7 +46,18 @@ SQL: dict[str, str | tuple[str, str]] = {
     "h21_arrays": ("SELECT n_regionkey, sort_array(collect_list(n_nationkey))[0] AS first, size(collect_list(n_nationkey)) AS n, array_contains(collect_list(n_nationkey), 7) AS has FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, list_sort(list(n_nationkey))[1] AS first, len(list(n_nationkey))::INT AS n, list_contains(list(n_nationkey), 7) AS has FROM nation GROUP BY n_regionkey"),
     "h22_json": ("SELECT event_id, get_json_object(props, '$.k') AS k FROM events", "SELECT event_id, props->>'k' AS k FROM events"),
     "h23_map": ("SELECT n_regionkey, map_from_entries(collect_list(struct(n_nationkey, n_name)))[n_regionkey] AS name FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, max(n_name) FILTER (n_nationkey = n_regionkey) AS name FROM nation GROUP BY n_regionkey"),
-    "h24_values": "SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) t(i, s)",
+    "h24_tablesample_all": ("SELECT n_nationkey, n_name FROM nation TABLESAMPLE (100 PERCENT)", "SELECT n_nationkey, n_name FROM nation"),
+    "h26_sliding": (
+        "SELECT event_type, unix_timestamp(cast(w.start as timestamp)) AS start, count(*) AS n FROM (SELECT event_type, window(ts, '2 hours', '1 hour') AS w FROM events) GROUP BY event_type, w",
+        "SELECT event_type, CAST(epoch(s) AS BIGINT) AS start, count(*) AS n FROM (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) - i * INTERVAL 1 HOUR AS s FROM events, (VALUES (0), (1)) t(i)) GROUP BY ALL",
+    ),
+    "h26_session": (
+        "SELECT user_id, unix_micros(cast(w.start as timestamp)) AS start, n FROM (SELECT user_id, session_window(ts, '6 hours') AS w, count(*) AS n FROM events GROUP BY user_id, session_window(ts, '6 hours'))",
+        """SELECT user_id, epoch_us(min(ts)) AS start, count(*) AS n FROM (
+            SELECT user_id, ts, sum(CASE WHEN ts < before + INTERVAL 6 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s
+            FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events)) GROUP BY user_id, s""",
+    ),
+    "h24_values":"SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) t(i, s)",
     "h26_tumbling": ("SELECT event_type, unix_timestamp(cast(w.start as timestamp)) AS start, count(*) AS n FROM (SELECT event_type, window(ts, '1 hour') AS w FROM events) GROUP BY event_type, w", "SELECT event_type, CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS start, count(*) AS n FROM events GROUP BY ALL"),
 }
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from .. import functions as C
 from ..operators import apply as A
-from ..operators import checks, consensus, filters, graph, progress
+from ..operators import checks, consensus, filters, graph, progress, states
 from ..sources import broadcast_table, decode_row, encode_row, event_changes, message_kind, table
 
 QUERIES: dict = {}
@@ -49,6 +49,16 @@ def _edges(spark, d):
     return n.select(F.col("id").alias("a")).join(n.select(F.col("id").alias("b")), F.expr("a <> b and (a * b) % 5 <> 0 and (a + 2 * b) % 7 <> 0")), n
 
 
+_FACTS = """facts AS (SELECT event_id AS id, event_id % 3 + 1 AS me, event_id % 5 AS seen, event_id % 7 + 1 AS gen, event_id % 8 AS members, CASE WHEN event_id % 11 < 4 THEN 3 ELSE 7 END AS configured,
+    event_id % 8 & event_id // 8 % 8 AS donors, event_id // 3 % 8 AS last_vote, event_id // 5 % 8 AS last_online_in, event_id // 7 % 5 - 1 AS receive, event_id // 2 % 16 AS clique, event_id % 13 = 0 AS electing FROM events)"""
+
+
+def _facts(spark, d):
+    x = "event_id % 8 & event_id div 8 % 8 AS donors, event_id div 3 % 8 AS last_vote, event_id div 5 % 8 AS last_online_in, event_id div 7 % 5 - 1 AS receive, event_id div 2 % 16 AS clique, event_id % 13 = 0 AS electing"
+    y = "event_id AS id, event_id % 3 + 1 AS me, event_id % 5 AS seen, event_id % 7 + 1 AS gen, event_id % 8 AS members, CASE WHEN event_id % 11 < 4 THEN 3L ELSE 7L END AS configured"
+    return table(spark, d, "events").selectExpr(*y.split(", "), *x.split(", "))
+
+
 def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
@@ -201,10 +211,16 @@ def _(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), ((F.bit_count(F.col("p_partkey") % 16) == 1) & (F.bit_count(F.col("p_partkey") % 7) == 2)).alias("referee"))
 
 
-@query("flt13_node_status", "SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'disabled' WHEN ((event_id % 8) & ~(event_id % 13)) <> 0 THEN 'isolated' WHEN event_id % 2 = 0 THEN 'recovery' ELSE 'online' END AS status FROM events")
+@query(
+    "flt13_node_status",
+    f"""WITH {_FACTS}, s AS (SELECT *, CASE WHEN last_online_in = gen THEN 'online'
+        WHEN (members >> (me - 1)) & 1 = 1 AND bit_count(members) >= bit_count(configured) // 2 + 1 AND gen = last_vote THEN 'recovery' ELSE 'dead' END AS state FROM facts)
+    SELECT id, CASE WHEN state = 'dead' AND receive = 0 THEN 'disabled' WHEN state = 'dead' THEN 'catchup' WHEN (members & ~clique) <> 0 OR electing THEN 'isolated' ELSE state END AS status FROM s""",
+)
 def _(spark, d):
-    e = table(spark, d, "events").select("event_id", (F.col("event_id") % 3).alias("member"), (F.col("event_id") % 8).alias("gen_members"), (F.col("event_id") % 13).alias("clique"), (F.col("event_id") % 2).alias("online"))
-    return e.select(F.col("event_id").alias("id"), consensus.node_status().alias("status"))
+    c = F.col
+    state = states.state_in_generation(c("me"), c("gen"), c("members"), c("configured"), c("last_online_in"), c("last_vote"))
+    return _facts(spark, d).select("id", states.status(state, c("receive"), c("members"), c("clique"), c("electing")).alias("status"))
 
 
 @query("prj1_expand_struct", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -697,10 +713,45 @@ def _(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("event_id") % 256).bitwiseAND(F.col("event_id") % 201).bitwiseOR(me).alias("members"), (F.col("event_id") % 17 + 1).alias("gen_num"))
 
 
-@query("gr7_generation_switch", "SELECT event_id AS id, CASE WHEN bit_count(event_id % 8) < 2 THEN 'dead' WHEN (event_id % 8) & (event_id % 5) <> 0 THEN 'online' ELSE 'recovery' END AS state FROM events")
+@query(
+    "gr7_generation_switch",
+    f"""WITH {_FACTS}, s AS (SELECT *, CASE WHEN seen >= gen THEN 'same'
+        WHEN (members >> (me - 1)) & 1 = 0 OR last_vote > gen OR (bit_count(members) < bit_count(configured) // 2 + 1 AND NOT (bit_count(members) = 1 AND bit_count(configured) = 2)) THEN 'dead'
+        WHEN (donors >> (me - 1)) & 1 = 1 THEN 'online' ELSE 'recovery' END AS state FROM facts)
+    SELECT id, state, CASE state WHEN 'dead' THEN 0 WHEN 'online' THEN -1 WHEN 'recovery' THEN CASE WHEN donors & 1 = 1 THEN 1 WHEN donors & 2 = 2 THEN 2 WHEN donors & 4 = 4 THEN 3 END END AS receives FROM s""",
+)
+def _(spark, d):
+    c = F.col
+    state = states.switched(c("me"), c("seen"), c("gen"), c("members"), c("configured"), c("donors"), c("last_vote"))
+    return _facts(spark, d).withColumn("state", state).select("id", "state", states.receives_from(c("state"), c("donors")).alias("receives"))
+
+
+@query("str2_receiver_mode", f"WITH {_FACTS} SELECT id, CASE WHEN receive = -1 THEN 'normal' WHEN receive > 0 AND receive = me THEN 'recovery' ELSE 'disabled' END AS mode FROM facts")
+def _(spark, d):
+    return _facts(spark, d).select("id", states.receiver_mode(F.col("receive"), F.col("me")).alias("mode"))
+
+
+@query(
+    "apl7_failure_action",
+    """SELECT event_id AS id, CASE WHEN event_id % 7 = 0 THEN CASE WHEN event_id % 3 = 0 THEN 'ignore' WHEN event_id % 2 = 0 THEN 'abort' ELSE 'refuse' END
+        WHEN event_id % 2 = 0 OR event_id % 3 = 0 OR event_id % 5 = 0 THEN 'stop' ELSE 'refuse' END AS action FROM events""",
+)
+def _(spark, d):
+    x = F.expr
+    mode = F.when(x("event_id % 2 = 0"), "recovery").otherwise("normal")
+    action = states.on_failure(mode, x("event_id % 3 <> 0"), x("event_id % 5 = 0"), x("event_id % 7 = 0"))
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), action.alias("action"))
+
+
+#: Statements by event_id % 6, and whether they call a listed function.
+CALLS = [("SELECT lo_create(7)", True), ("SELECT LO_UNLINK (oid) FROM t", True), ("EXPLAIN SELECT lo_create(7)", False), ("SELECT 'lo_create(7)' FROM t", False), ("SELECT my_lo_create(7)", False), ("SELECT public.set_auto('t', true)", True)]
+_LISTED = ["lo_create", "lo_unlink", "public.set_auto"]
+
+
+@query("udf5_statement_as_text", "SELECT event_id, (event_id % 6)::INT IN (" + ", ".join(str(i) for i, (_, hit) in enumerate(CALLS) if hit) + ") AS as_text FROM events")
 def _(spark, d):
-    members, donors = F.col("event_id") % 8, F.col("event_id") % 5
-    return table(spark, d, "events").select(F.col("event_id").alias("id"), F.when(~C.quorum(F.bit_count(members), F.lit(3)), "dead").when(members.bitwiseAND(donors) != 0, "online").otherwise("recovery").alias("state"))
+    text = F.array(*[F.lit(t) for t, _ in CALLS])[(F.col("event_id") % len(CALLS)).cast("int")]
+    return table(spark, d, "events").select("event_id", states.calls_listed(text, _LISTED).alias("as_text"))
 
 
 @query("gr8_referee_election", "SELECT event_id AS id, CASE WHEN event_id % 4 = 3 THEN 'both' WHEN event_id % 4 > 0 AND event_id % 3 = 0 THEN 'granted' ELSE 'wait' END AS result FROM events")

@@ -221,6 +221,28 @@ def test_repeated_passages_go_once(spark):
     assert substring_dedup.dedup(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_passages_against_brute_force(spark):
+    """What the bound on a run leaves out shares no 51 words with any text; nearly all
+    texts that do are found."""
+    r = random.Random(11)
+    texts = []
+    for k, n in enumerate([18, 24, 30, 51, 60, 120] * 25):
+        shared = words(r, n, 99999)
+        for _ in range(2 + k % 2):
+            texts.append(" ".join((words(r, r.randrange(5, 90), 99999), shared, words(r, r.randrange(90), 99999))))
+    grams: dict = {}
+    for i, t in enumerate(texts, 1):
+        w = t.split()
+        for j in range(len(w) - 50):
+            grams.setdefault(tuple(w[j : j + 51]), set()).add(i)
+    truth = {i for held in grams.values() if len(held) > 1 for i in held}
+    df = docs(spark, texts)
+    found, loose = ({x.doc for x in substring_dedup.repeats(df, passage=p).select("doc").distinct().collect()} for p in (51, 0))
+    assert found <= loose and not (loose - found) & truth
+    assert len(found & truth) >= 0.95 * len(truth)
+    assert len(found - truth) < 0.7 * len(loose - truth)
+
+
 # --- language model ---
 
 

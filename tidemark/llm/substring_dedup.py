@@ -5,7 +5,9 @@ insertion moves only the cuts beside it. Chunks are deduplicated by digest over
 documents: of a repeated chunk the occurrence in the smallest doc_id stays (in one
 document the first). Single chunks repeat by chance, so only runs of consecutive
 repeated chunks with `min_words` words or more count as repeated passages; a passage
-shared word for word holds such a run but for the part of a chunk at either end.
+shared word for word holds such a run but for the part of a chunk at either end. A run
+that cannot reach `passage` words, even with all that its neighbouring chunks may add,
+is part of no passage sought and is left alone.
 
 Defined results: a null or empty text has no chunks and stays as it is; a row with a
 null doc_id is left alone; rows that repeat a doc_id are one document, whose later
@@ -30,6 +32,10 @@ from .common import _SPACE, int64, read, slices, span_hashes, stored
 #: 11 to 15 depend on the last 16 bytes.
 MASK = 0b11111 << 11
 MIN_WORDS = 16
+#: The words of the shortest passage sought; a run that cannot be part of one is no repeat.
+PASSAGE = 51
+#: The gear hash sees so many bytes where MASK looks at it; neighbours' words are counted to MANY.
+WINDOW, MANY = 16, 255
 _GEAR = np.random.Generator(np.random.PCG64(6)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -73,8 +79,15 @@ def chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mask: int
                 order = np.lexsort((digest, owner))
                 again = np.zeros(len(end), bool)
                 again[order[1:]] = (digest[order[1:]] == digest[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
+                own = words[end] - words[start]
+                # Words that a passage may have beyond its whole chunks: in the chunk before
+                # and the 16 bytes before that, which the gear hash sees; in the chunk after.
+                inner = start > at[owner]
+                lead = np.where(inner, words[start] - words[np.maximum(np.roll(start, 1) - WINDOW, at[owner])] + 1, 0)
+                tail = np.where(end < at[owner + 1], np.roll(own, -1) + 1, 0)
+                around = np.minimum(lead, MANY) << 48 | np.minimum(tail, MANY) << 40
                 yield pa.RecordBatch.from_arrays(
-                    [int64(digest), pa.array(doc[first + owner]), pa.array(row[first + owner]), pa.array((start - at[owner]) << 32 | (end - start)), pa.array((words[end] - words[start]) << 1 | again)],
+                    [int64(digest), pa.array(doc[first + owner]), pa.array(row[first + owner]), pa.array((start - at[owner]) << 32 | (end - start)), pa.array(around | own << 1 | again)],
                     ["digest", "doc", "row", "place", "told"],
                 )
 
@@ -93,10 +106,11 @@ def numbered(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 def unpacked(df: DataFrame) -> DataFrame:
     """place and told as start, size, words and again."""
     place, told = F.col("place"), F.col("told")
-    return df.withColumns({"start": F.shiftright(place, 32).cast("int"), "size": place.bitwiseAND((1 << 32) - 1).cast("int"), "words": F.shiftright(told, 1).cast("int"), "again": told.bitwiseAND(1) == 1}).drop("place", "told")
+    near = {"lead": F.shiftright(told, 48).cast("int"), "tail": F.shiftright(told, 40).bitwiseAND(MANY).cast("int")}
+    return df.withColumns({"start": F.shiftright(place, 32).cast("int"), "size": place.bitwiseAND((1 << 32) - 1).cast("int"), "words": F.shiftright(told.bitwiseAND((1 << 40) - 1), 1).cast("int"), "again": told.bitwiseAND(1) == 1, **near}).drop("place", "told")
 
 
-def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, mask: int = MASK) -> DataFrame:
+def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, mask: int = MASK, passage: int = PASSAGE) -> DataFrame:
     """The repeated passages of each text: (doc, row, start, end, words, first_doc,
     removed) by bytes; row tells texts of one id apart; `removed` marks the runs of a
     passage that stay in an earlier place."""
@@ -111,7 +125,10 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
     step = F.when(F.col("start") == F.lag(F.col("start") + F.col("size")).over(by), 0).otherwise(1)
     runs = marked.dropDuplicates(["doc", "row", "start"]).withColumn("step", step).withColumn("run", F.sum("step").over(by))
     turn = F.when(F.col("later") == F.lag("later").over(Window.partitionBy("doc", "row", "run").orderBy("start")), 0).otherwise(1)
-    runs = runs.withColumn("total", F.sum("words").over(Window.partitionBy("doc", "row", "run"))).where(F.col("total") >= min_words)
+    whole = Window.partitionBy("doc", "row", "run")
+    ends = {"total": F.sum("words").over(whole), "lead": F.min(F.struct("start", "lead")).over(whole)["lead"], "tail": F.max(F.struct("start", "tail")).over(whole)["tail"]}
+    may = (F.col("lead") == MANY) | (F.col("tail") == MANY) | (F.col("total") + F.col("lead") + F.col("tail") >= passage)
+    runs = runs.withColumns(ends).where((F.col("total") >= min_words) & may)
     runs = runs.withColumn("turn", turn).withColumn("part", F.sum("turn").over(Window.partitionBy("doc", "row", "run").orderBy("start")))
     out = runs.groupBy("doc", "row", "run", "part").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.sum("words").alias("words"), F.min("first_doc").alias("first_doc"), F.first("later").alias("removed"))
     # A stray chunk that happens to occur earlier stays where the passage around it stays.
@@ -119,14 +136,14 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
     return out.select("doc", "row", "start", "end", "words", "first_doc", "removed")
 
 
-def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, mask: int = MASK) -> DataFrame:
+def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, mask: int = MASK, passage: int = PASSAGE) -> DataFrame:
     """df with `text` cut, and: n_repeats (passages found), repeated_words,
     removed_words, shared_with (the first documents of its passages), spans (of bytes,
     in the text as it was). Columns of these names are replaced."""
     df = df.drop("n_repeats", "repeated_words", "removed_words", "shared_with", "spans")
     span = F.struct("start", "end", "words", "first_doc", "removed")
     # A text has no more passages than it has bytes / 100: a list is no larger than its row.
-    found = repeats(df, doc_id, text, min_words, mask).groupBy("doc", "row").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    found = repeats(df, doc_id, text, min_words, mask, passage).groupBy("doc", "row").agg(F.sort_array(F.collect_list(span)).alias("spans"))
     base = numbered(df.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.struct(*df.columns).alias("_all")), "_id", "_text")
     out = base.join(found, ["doc", "row"], "left").select("_all.*", "spans")
     raw, gone = F.encode(F.col(text), "UTF-8"), F.filter("spans", lambda s: s["removed"])

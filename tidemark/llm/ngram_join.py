@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free, int64, mix, read, slices, span_hashes, stored, word_spans
+from .common import free, int64, mix, read, slices, small_batches, span_hashes, stored, word_spans
 from .components import components
 
 WORDS = 5
@@ -153,7 +153,13 @@ def _ordered(s: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
 
 
 def similar(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, star_rounds: int = STAR_ROUNDS, links: bool = True, hot: int = HOT, block: int = LINK_BLOCK) -> DataFrame:
-    """One row per row of df: doc_id, n_shingles, component_id and, if `links`, n_links."""
+    """One row per row of df: doc_id, n_shingles, component_id and, if `links`, n_links.
+    All Python runs in here; what is returned joins stored tables."""
+    with small_batches(df.sparkSession):
+        return _similar(df, doc_id, text, words, percent, star_rounds, links, hot, block)
+
+
+def _similar(df: DataFrame, doc_id: str, text: str, words: int, percent: int, star_rounds: int, links: bool, hot: int, block: int) -> DataFrame:
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
     bitmap = [f"b{j}" for j in range(BITMAP)]
